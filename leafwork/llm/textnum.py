@@ -75,6 +75,19 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     return mix((sums[ends] - sums[starts]) * down[starts]), first
 
 
+def prefix_hashes(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes (words, 1 + sizes), first word of each text): of each word, A-Z lower-cased, and of its first bytes."""
+    starts, ends, first = words(data, offsets)
+    up, down = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LOWER[data].astype(np.uint64) * up[:-1] + up[:-1], out=sums[1:])
+    out = np.empty((len(starts), 1 + len(sizes)), np.uint64)
+    for j, size in enumerate((None, *sizes)):
+        stops = ends if size is None else np.minimum(ends, starts + size)
+        out[:, j] = mix((sums[stops] - sums[starts]) * down[starts] + np.uint64(j))
+    return out, first
+
+
 def shingle_hashes(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each shingle of width words, first shingle of each text).
 
