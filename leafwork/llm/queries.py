@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwork.llm import minhash, simhash
+from leafwork.llm import minhash, simhash, toxicity, urlrep
 from leafwork.llm.common import table
 
 QUERIES: dict = {}
@@ -22,6 +22,19 @@ def op1_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrep.judge(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op6_url_reputation"] = urlrep.judge_sql()
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
