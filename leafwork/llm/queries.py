@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwork.llm import minhash, simhash, toxicity, urlrep
+from leafwork.llm import minhash, mixing, simhash, toxicity, urlrep
 from leafwork.llm.common import table
 
 QUERIES: dict = {}
@@ -22,6 +22,11 @@ def op1_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_counts(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrep.judge(table(spark, sf_dir, "pages"))
