@@ -6,7 +6,7 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Token of the word definition that every operator here shares.
@@ -80,3 +80,21 @@ def part_of(key: Column, cuts: list) -> Column:
 def word_count(text: Column) -> Column:
     """Words of a text as a long; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def running(df: DataFrame, by: Column, value: Column, *order: str) -> DataFrame:
+    """df with before: the sum of value over the rows that precede in the row's group.
+
+    Rows are dealt to buckets by the hash of order, which has to tell rows apart, and
+    follow each other by bucket and then by order. Each bucket is summed up on its own and the
+    buckets' totals apart, so that no group meets in one task.
+    """
+    n = 4 * partitions(df.sparkSession)
+    names = df.columns
+    df = df.select("*", by.alias("__by"), value.cast("long").alias("__value"), F.pmod(F.xxhash64(*order), F.lit(n)).alias("__bucket"))
+    sums = df.groupBy("__by", "__bucket").agg(F.sum("__value").alias("__sum"))
+    upto = F.sum("__sum").over(Window.partitionBy("__by").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0))
+    sums = sums.select("__by", "__bucket", (upto - F.col("__sum")).alias("__first"))
+    inner = Window.partitionBy("__by", "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("__upto", F.sum("__value").over(inner)).join(sums, ["__by", "__bucket"])
+    return df.select(*names, (F.col("__first") + F.col("__upto") - F.col("__value")).alias("before"))
