@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwork.llm import minhash, mixing, packing, simhash, toxicity, urlrep
+from leafwork.llm import linededup, minhash, mixing, packing, simhash, toxicity, urlrep
 from leafwork.llm.common import table
 
 QUERIES: dict = {}
@@ -49,3 +49,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.deduplicate(table(spark, sf_dir, "documents"))
