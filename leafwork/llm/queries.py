@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwork.llm import linededup, minhash, mixing, packing, simhash, toxicity, urlrep
+from leafwork.llm import embeddings, linededup, minhash, mixing, packing, simhash, toxicity, urlrep, warc
 from leafwork.llm.common import table
 
 QUERIES: dict = {}
@@ -22,11 +22,24 @@ def op1_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op2_warc_segments"] = warc.ROUND_TRIP_SQL
+
+
 @query
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrep.judge(table(spark, sf_dir, "pages"))
