@@ -137,7 +137,7 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """(row, pass, shard, first, words) of every piece of a document that is drawn."""
-        return self.pieces().join(self.slots(), ["number", "block"]).select("row", "pass", "shard", "first", "words")
+        return self.pieces().hint("merge").join(self.slots(), ["number", "block"]).select("row", "pass", "shard", "first", "words")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
