@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from leafwork.llm import cutting_stock
 from leafwork.llm.common import running, written
-from leafwork.llm.tokens import WordTokens, default_vocabulary
+from leafwork.llm.tokens import default_vocabulary, word_tokens
 
 LENGTH, END = 4096, 2
 #: Lengths of rests are counted in units of so many tokens.
@@ -25,7 +25,7 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None, end: int = END) ->
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last = WordTokens(path), np.array([end], "<u4").tobytes()
+        words, last = word_tokens(path), np.array([end], "<u4").tobytes()
         for b in batches:
             step = max(1, int(b.num_rows * (4 << 20) / max(1, b.nbytes)))
             for at in range(0, b.num_rows, step):

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import os
+import struct
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Words remembered per process, at most; the memory is emptied when it is full.
-REMEMBERED = 300_000
+#: Words of each of the two generations that a process remembers, at most.
+REMEMBERED = 400_000
+#: Marks that, after a word of letters, are a token of their own.
+MARKS = ".,;:!?"
+
+_loaded: dict[str, WordTokens] = {}
 
 
 def default_vocabulary() -> str:
@@ -18,28 +24,82 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> list[str]:
+    """Byte-level letters: printable bytes stand for themselves, the others for what follows U+00FF."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in plain else next(others)) for b in range(256)]
+
+
+def word_tokens(path: str) -> WordTokens:
+    """The process's own, so that what it remembers outlives a task."""
+    if path not in _loaded:
+        _loaded[path] = WordTokens(path)
+    return _loaded[path]
+
+
 class WordTokens:
-    """Ids of a tokenizer whose pre-tokens never hold white space.
+    """Ids by a lower-casing, byte-level tokenizer whose pre-tokens never hold white space.
 
-    For such a tokenizer a text's ids are those of its parts between spaces and line feeds,
-    one after another; so each part is encoded once and looked up after that.
+    For such a tokenizer a text's ids are those of its parts between spaces and
+    line feeds, one after another; so each part is encoded once and looked up
+    after that. A part of letters, with or without one mark behind, is lower-cased here
+    and given to the merges at once; any other goes through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.merges = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.marks = {"": b"", **{m: self._whole([m])[0] for m in MARKS}}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _whole(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _letters_only(self, core: str) -> bytes | None:
+        """Ids of a word of letters; None if its lower case is in doubt."""
+        if core.isascii():
+            word = core.lower()
+        else:
+            low = core.lower()
+            if "\u03a3" in core or not low.isalpha() or not unicodedata.is_normalized("NFC", core):
+                return None
+            word = "".join([self.letters[b] for b in low.encode()])
+        ids = [t.id for t in self.merges.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, new: list[str]) -> None:
+        rest, young, old = [], self.young, self.old
+        for part in new:
+            if (found := old.get(part)) is not None:
+                young[part] = found
+                continue
+            mark = part[-1:] if part[-1:] in self.marks else ""
+            core = part[: len(part) - len(mark)]
+            ids = None
+            if core.isalpha():
+                ids = (young.get(core) or old.get(core)) if mark and core.isascii() else None
+                if ids is None:
+                    ids = self._letters_only(core)
+                    if mark and ids is not None:
+                        young[core] = ids
+            if ids is None:
+                rest.append(part)
+                continue
+            young[part] = ids + self.marks[mark]
+        for i in range(0, len(rest), 1024):
+            some = rest[i : i + 1024]
+            young.update(zip(some, self._whole(some), strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian uint32 ids of each text, without special tokens added."""
         for text in texts:
+            if len(self.young) > REMEMBERED:
+                self.young, self.old = {}, self.young
             parts = text.replace("\n", " ").split(" ")
-            known = self.known
-            if len(known) > REMEMBERED:
-                self.known = known = {"": b""}
-            new = [p for p in dict.fromkeys(parts) if p not in known]
-            for i in range(0, len(new), 4096):
-                some = new[i : i + 4096]
-                for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    known[p] = np.array(e.ids, "<u4").tobytes()
-            yield b"".join([known[p] for p in parts])
+            young = self.young
+            self._learn([p for p in dict.fromkeys(parts) if p not in young])
+            yield b"".join([young[p] for p in parts])
