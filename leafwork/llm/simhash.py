@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwork.llm import textnum
@@ -196,3 +196,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     groups = written(known.groupBy("root").agg(F.min("least").alias("component_id")), "groups")
     named = written(known.join(groups, "root").select("fp", "component_id"), "named")
     return made.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """docs with one document of each near-duplicate group: that of the smallest doc_id.
+
+    Of rows that repeat this doc_id the one whose text has the least hash stays. A document
+    without a doc_id can't stand for a group, nor be told from others, and stays.
+    """
+    kept = near_duplicates(docs, radius=radius).where("doc_id = component_id").select("doc_id", F.lit(True).alias("__kept")).distinct()
+    rows = docs.join(written(kept, "kept"), "doc_id", "left").where("__kept or doc_id is null")
+    text = F.xxhash64("text")
+    own = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), text)).orderBy(text)
+    rows = rows.withColumn("__n", F.row_number().over(own)).where("__n = 1 or doc_id is null")
+    return rows.select(*docs.columns)
