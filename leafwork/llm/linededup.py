@@ -13,8 +13,9 @@ from leafwork.llm.graph import components
 
 #: Edits that two lines of a class may differ by; lines of SHORT code points or fewer have to be equal.
 EDITS, SHORT = 2, 20
-#: Letters that are counted for the filter on candidates.
-LETTERS = "eantios"
+#: Letters that are counted for the filter on candidates, two bits each.
+LETTERS = "etaoinshrdlucmfwypvbgk .,é"
+LOW, HIGH = 0x5555555555555555, 0xAAAAAAAAAAAAAAAA - (1 << 64)
 
 
 def _let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -30,13 +31,18 @@ def _segments(n: Column, edits: int) -> list[tuple[Column, Column]]:
 
 
 def _key(n: Column, i: int, begin: Column, size: Column) -> Column:
-    return F.xxhash64(n, F.lit(i), F.substring(F.col("text"), begin + 1, size))
+    """Hash of a segment. Code points are cut out of UTF-32, where each has 4 bytes."""
+    return F.xxhash64(n, F.lit(i), F.substring(F.col("wide"), begin * 4 + 1, size * 4))
+
+
+def _wide(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("wide", F.encode("text", "UTF-32"))
 
 
 def index_rows(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(key, line, letters): each segment of each line, with its number and the line's length."""
     keys = [_key(F.col("n"), i, begin, size) for i, (begin, size) in enumerate(_segments(F.col("n"), edits))]
-    return lines.select("line", "letters", F.explode(F.array(*keys)).alias("key"))
+    return _wide(lines).select("line", "letters", F.explode(F.array(*keys)).alias("key"))
 
 
 def probe_rows(lines: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -55,27 +61,28 @@ def probe_rows(lines: DataFrame, edits: int = EDITS) -> DataFrame:
                 if abs(less - shift) <= edits - i:
                     fits = (n > SHORT) & (begin + shift >= 0) & (begin + shift + size <= F.col("n"))
                     keys.append(F.when(fits, _key(n, i, begin + shift, size)))
-    probes = lines.select(F.col("line").alias("probe"), F.col("n").alias("probe_n"), F.col("letters").alias("probe_letters"), F.explode(F.array_distinct(F.array(*keys))).alias("key"))
+    probes = _wide(lines).select(F.col("line").alias("probe"), F.col("letters").alias("probe_letters"), F.explode(F.array_distinct(F.array(*keys))).alias("key"))
     return probes.where("key is not null")
 
 
 def letter_counts(text: Column) -> Column:
-    """Counts of LETTERS, each mod 128, in the bytes of a long.
+    """Counts of LETTERS mod 4, in two bits each of a long.
 
-    An edit changes at most two counts by one each, so texts within e edits differ by 2 e over all.
+    An edit changes at most two counts by one each, so those of texts within e edits
+    differ by at most 2 e over all letters.
     """
-    n = F.length(text)
-    counts = [F.shiftleft(F.pmod(n - F.length(F.translate(text, c, "")), F.lit(128)).cast("long"), 8 * k) for k, c in enumerate(LETTERS)]
+    whole = F.octet_length(text)
+    counts = [F.shiftleft(((whole - F.octet_length(F.replace(text, F.lit(c), F.lit("")))) / len(c.encode())).cast("long").bitwiseAND(F.lit(3)), 2 * k) for k, c in enumerate(LETTERS)]
     return reduce(lambda x, y: x.bitwiseOR(y), counts)
 
 
 def letters_near(a: Column, b: Column, edits: int = EDITS) -> Column:
-    """Whether the letter counts allow for so few edits."""
-    total = F.lit(0)
-    for k in range(7):
-        d = F.pmod(F.shiftright(a, 8 * k).bitwiseAND(F.lit(127)) - F.shiftright(b, 8 * k).bitwiseAND(F.lit(127)), F.lit(128))
-        total = total + F.least(d, 128 - d)
-    return total <= 2 * edits
+    """Whether the letter counts allow for so few edits: the differences mod 4 of all letters at once."""
+    high, low = F.lit(HIGH).cast("long"), F.lit(LOW).cast("long")
+    odd = a.bitwiseXOR(b).bitwiseAND(low)
+    # a count differs by 2 where its low bits agree and its high bits don't
+    two = F.shiftrightunsigned(a.bitwiseXOR(b).bitwiseAND(high), 1).bitwiseAND(F.bitwise_not(odd))
+    return F.bit_count(odd) + 2 * F.bit_count(two) <= 2 * edits
 
 
 def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
