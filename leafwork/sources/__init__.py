@@ -1,0 +1 @@
+"""Readers and writers of documents, cases and transcripts."""

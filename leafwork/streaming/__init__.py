@@ -1,0 +1 @@
+"""Documents that arrive in pieces."""
