@@ -14,7 +14,7 @@ from leafwork.llm.graph import components
 #: Edits that two lines of a class may differ by; lines of SHORT code points or fewer have to be equal.
 EDITS, SHORT = 2, 20
 #: Letters that are counted for the filter on candidates, two bits each.
-LETTERS = "etaoinshrdlucmfwypvbgk .,é"
+LETTERS = "etaoinshrdlucmgp"
 LOW, HIGH = 0x5555555555555555, 0xAAAAAAAAAAAAAAAA - (1 << 64)
 
 
@@ -23,16 +23,14 @@ def _let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), 0)
 
 
-def _segments(n: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(first place from 0, length) of the edits + 1 segments of a line of n code points."""
-    parts = edits + 1
-    cuts = [F.floor(n * i / parts).cast("int") for i in range(parts + 1)]
-    return [(cuts[i], cuts[i + 1] - cuts[i]) for i in range(parts)]
+def _cut(n: Column, i: Column | int, parts: int) -> Column:
+    """Place from 0 of cut i of a line of n code points into parts segments."""
+    return (n * i / parts).cast("int")
 
 
-def _key(n: Column, i: int, begin: Column, size: Column) -> Column:
+def _key(n: Column, i: Column, begin: Column, size: Column) -> Column:
     """Hash of a segment. Code points are cut out of UTF-32, where each has 4 bytes."""
-    return F.xxhash64(n, F.lit(i), F.substring(F.col("wide"), begin * 4 + 1, size * 4))
+    return F.xxhash64(n, i, F.substring(F.col("wide"), begin * 4 + 1, size * 4))
 
 
 def _wide(lines: DataFrame) -> DataFrame:
@@ -41,7 +39,8 @@ def _wide(lines: DataFrame) -> DataFrame:
 
 def index_rows(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(key, line, letters): each segment of each line, with its number and the line's length."""
-    keys = [_key(F.col("n"), i, begin, size) for i, (begin, size) in enumerate(_segments(F.col("n"), edits))]
+    n, parts = F.col("n"), edits + 1
+    keys = [_key(n, F.lit(i), _cut(n, i, parts), _cut(n, i + 1, parts) - _cut(n, i, parts)) for i in range(parts)]
     return _wide(lines).select("line", "letters", F.explode(F.array(*keys)).alias("key"))
 
 
@@ -53,15 +52,16 @@ def probe_rows(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     shifted by at most i, and by at most edits - i against the end; only such
     substrings are probed, for each length from the line's own down to edits less.
     """
-    keys = []
-    for less in range(edits + 1):
-        n = F.col("n") - less
-        for i, (begin, size) in enumerate(_segments(n, edits)):
-            for shift in range(-i, i + 1):
-                if abs(less - shift) <= edits - i:
-                    fits = (n > SHORT) & (begin + shift >= 0) & (begin + shift + size <= F.col("n"))
-                    keys.append(F.when(fits, _key(n, i, begin + shift, size)))
-    probes = _wide(lines).select(F.col("line").alias("probe"), F.col("letters").alias("probe_letters"), F.explode(F.array_distinct(F.array(*keys))).alias("key"))
+    parts = edits + 1
+    wanted = [(less, i, shift) for less in range(parts) for i in range(parts) for shift in range(-i, i + 1) if abs(less - shift) <= edits - i]
+    steps = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("less", "i", "shift"), w, strict=True)]) for w in wanted])
+
+    def key(p: Column) -> Column:
+        n = F.col("n") - p["less"]
+        begin, end = _cut(n, p["i"], parts) + p["shift"], _cut(n, p["i"] + 1, parts) + p["shift"]
+        return F.when((n > SHORT) & (begin >= 0) & (end <= F.col("n")), _key(n, p["i"], begin, end - begin))
+
+    probes = _wide(lines).select(F.col("line").alias("probe"), F.col("letters").alias("probe_letters"), F.explode(F.array_distinct(F.transform(steps, key))).alias("key"))
     return probes.where("key is not null")
 
 
@@ -72,8 +72,12 @@ def letter_counts(text: Column) -> Column:
     differ by at most 2 e over all letters.
     """
     whole = F.octet_length(text)
-    counts = [F.shiftleft(((whole - F.octet_length(F.replace(text, F.lit(c), F.lit("")))) / len(c.encode())).cast("long").bitwiseAND(F.lit(3)), 2 * k) for k, c in enumerate(LETTERS)]
-    return reduce(lambda x, y: x.bitwiseOR(y), counts)
+
+    def counted(bits: Column, letter: Column) -> Column:
+        # a loop, since an expression of all letters makes a method too large to be compiled
+        return F.shiftleft(bits, 2).bitwiseOR((whole - F.octet_length(F.replace(text, letter, F.lit("")))).cast("long").bitwiseAND(F.lit(3)))
+
+    return F.aggregate(F.array(*[F.lit(c) for c in LETTERS]), F.lit(0).cast("long"), counted)
 
 
 def letters_near(a: Column, b: Column, edits: int = EDITS) -> Column:
@@ -139,7 +143,8 @@ def near_pairs(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """(doc_id, t1, t2, line_no, text, h1, h2) of each line; a null text has none."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    whole = docs.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
+    rows = whole.select("doc_id", "t1", "t2", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     return rows.select("*", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
 
 
