@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.llm import textnum
-from leafwork.llm.common import part_of, partitions, splits
+from leafwork.llm.common import part_of, partitions, splits, written
+from leafwork.llm.graph import components
 
 WIDTH = 5
 PERMUTATIONS = 128
@@ -21,6 +22,11 @@ _random = np.random.default_rng(0x5EED)
 _A = _random.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _random.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2)
 EMPTY = np.uint32(0xFFFFFFFF)
+#: Bands of ROWS permutations each. Texts of likeness 0.8 share none of them once in 20,000 times.
+BANDS, ROWS = 25, 5
+SIMILARITY, BLOCK = 0.8, 256
+#: Signatures that agree less than this (four standard deviations below) aren't compared by shingles.
+MARGIN = 4 * (SIMILARITY * (1 - SIMILARITY) / PERMUTATIONS) ** 0.5
 
 
 def signatures(texts: pa.Array, width: int = WIDTH) -> np.ndarray:
@@ -119,3 +125,99 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )
+
+
+def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h1, h2, least, signature, shingles): the distinct shingles' hashes in order, as bytes."""
+    for b in batches:
+        step = max(1, min(b.num_rows, int(b.num_rows * (4 << 20) / max(1, b.nbytes))))
+        for at in range(0, b.num_rows, step):
+            part = b.slice(at, step)
+            texts, sets = part.column(3), []
+            for _, data, offsets in textnum.chunks(texts, 1 << 18):
+                shingles, starts = textnum.shingle_hashes(*textnum.word_hashes(data, offsets), WIDTH)
+                sets += [np.unique(shingles[x:y]).tobytes() for x, y in zip(starts, starts[1:], strict=False)]
+            marks = [x.tobytes() for x in signatures(texts)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(marks, pa.binary()), pa.array(sets, pa.binary())], names=["h1", "h2", "least", "signature", "shingles"])
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted arrays of distinct hashes; two empty ones are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """A spanning forest (a, b) of the verified links of each sorted group (band, key, i, j)."""
+    held: list[tuple] = []
+    last = None
+
+    def links() -> pa.RecordBatch:
+        marks = np.stack([np.frombuffer(r[2], np.uint32) for r in held])
+        sets = [np.frombuffer(r[3], np.uint64) for r in held]
+        left = np.array([k for k, r in enumerate(held) if r[0] == 0], np.int64)
+        right = np.array([k for k, r in enumerate(held) if r[0] == 1], np.int64)
+        pairs = [(x, y) for n, x in enumerate(left) for y in left[n + 1 :]] if not len(right) and last[2] == last[3] else [(x, y) for x in left for y in right]
+        label, a, b = list(range(len(held))), [], []
+
+        def find(x: int) -> int:
+            while label[x] != x:
+                label[x] = label[label[x]]
+                x = label[x]
+            return x
+
+        if pairs:
+            x, y = np.array(pairs).T
+            alike = np.concatenate([likeness(marks[x[k : k + 4096]], marks[y[k : k + 4096]]) for k in range(0, len(x), 4096)])
+            for k in np.argsort(-alike, kind="stable").tolist():
+                if alike[k] < similarity - MARGIN:
+                    break
+                p, q = find(int(x[k])), find(int(y[k]))
+                if p != q and jaccard(sets[x[k]], sets[y[k]]) >= similarity:
+                    label[q] = p
+                    a.append(held[x[k]][1])
+                    b.append(held[y[k]][1])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for band, key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (band, key, i, j) != last and held:
+                yield links()
+                held = []
+            last = (band, key, i, j)
+            held.append(tuple(row))
+    if held:
+        yield links()
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """One row per document: doc_id, component_id (smallest doc_id within reach of links).
+
+    Texts are linked if the Jaccard likeness of their shingles is at least similarity, found by
+    shared bands of their signatures and verified on the shingles. Equal
+    texts stand for each other. A bucket of many texts is compared block by
+    block, each pair of blocks in a group of its own, and gives a
+    spanning forest, not the pairs. Null text is empty; texts without words are alike. A
+    null doc_id is never the smallest. Rows may repeat; other columns are not read; an empty table gives
+    none.
+    """
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    texts = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.first("text").alias("text"))
+    made = texts.mapInArrow(_fingerprinted, f"h1 long, h2 long, least {docs.schema['doc_id'].dataType.simpleString()}, signature binary, shingles binary")
+    made = written(made.select(F.monotonically_increasing_id().alias("node"), "*"), "signatures")
+    size = 4 * ROWS
+    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.xxhash64(F.substring("signature", F.lit(k * size + 1), F.lit(size))).alias("key")) for k in range(BANDS)])
+    buckets = made.select("node", F.inline(bands))
+    sizes = written(buckets.groupBy("band", "key").agg(F.ceil(F.count("*") / block).alias("blocks"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    shared = buckets.join(sizes.drop("n"), ["band", "key"]).withColumn("number", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    tasks = F.transform(every, lambda x: F.struct(F.least("number", x).alias("i"), F.greatest("number", x).alias("j"), (F.col("number") > x).cast("int").alias("role")))
+    keys = ["band", "key", "i", "j"]
+    shared = shared.select("node", "band", "key", F.inline(tasks)).join(made.select("node", "signature", "shingles"), "node")
+    shared = shared.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "role", "node", "signature", "shingles")
+    roots = components(shared.mapInArrow(lambda b: _verified(b, similarity), "a long, b long"))
+    known = written(made.select("node", "h1", "h2", "least").join(roots, "node", "left").select("h1", "h2", "least", F.coalesce("root", "node").alias("root")), "rooted")
+    groups = written(known.groupBy("root").agg(F.min("least").alias("component_id")), "groups")
+    named = written(known.join(groups, "root").select("h1", "h2", "component_id"), "named")
+    return rows.select("doc_id", "h1", "h2").join(named, ["h1", "h2"], "left").select("doc_id", "component_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwork.llm import embeddings, linededup, minhash, mixing, packing, simhash, toxicity, urlrep, warc
+from leafwork.llm import embeddings, linededup, minhash, mixing, packing, simhash, tokencounts, toxicity, urlrep, warc
 from leafwork.llm.common import table
 
 QUERIES: dict = {}
@@ -40,6 +40,11 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.with_suffix_sums(tokencounts.histogram(table(spark, sf_dir, "documents")))
+
+
 @query
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrep.judge(table(spark, sf_dir, "pages"))
@@ -67,3 +72,8 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.deduplicate(table(spark, sf_dir, "documents"))
+
+
+@query
+def minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
