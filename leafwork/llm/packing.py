@@ -20,18 +20,19 @@ UNIT = 16
 
 
 def tokenized(docs: DataFrame, vocabulary: str | None = None, end: int = END) -> DataFrame:
-    """Written rows (row, doc_id, tokens, ids): the ids of each whole text, then end, as little-endian uint32."""
+    """Written rows (row, doc_id, tokens, ids): the ids of each whole text, then end, little-endian, 2 or 4 bytes each."""
     path = vocabulary or default_vocabulary()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last = word_tokens(path), np.array([end], "<u4").tobytes()
+        words = word_tokens(path)
+        last = np.array([end], words.dtype).tobytes()
         for b in batches:
             step = max(1, int(b.num_rows * (4 << 20) / max(1, b.nbytes)))
             for at in range(0, b.num_rows, step):
                 part = b.slice(at, step)
                 ids = [x + last for x in words.encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // words.width for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "tokens", "ids"])
 
     made = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, tokens long, ids binary")
     return written(made.select(F.monotonically_increasing_id().alias("row"), "*"), "tokens")
@@ -112,7 +113,7 @@ def _laid(residue: DataFrame, length: int) -> DataFrame:
 
 
 def packed(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, unit: int = UNIT, end: int = END, ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids where asked.
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids where asked (uint32).
 
     A document is its text's token ids, without special tokens added, and then
     end; null text is empty, so it is end alone. Every id is in exactly one
@@ -129,8 +130,9 @@ def packed(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH,
         for b in batches:
             out: list[tuple] = []
             for doc_id, tokens, data, cuts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                data = np.frombuffer(data, f"<u{len(data) // tokens}")
                 for c in cuts:
-                    own = data[4 * c["start"] : 4 * (c["start"] + c["size"])]
+                    own = data[c["start"] : c["start"] + c["size"]].astype("<u4").tobytes()
                     out.append((doc_id, c["start"], c["size"], zlib.crc32(own), tokens, c["sequence_id"], c["offset"], *([own] if ids else [])))
             types = [b.schema.field(0).type, *[pa.int64()] * 6, *[pa.binary()] * ids]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * ids]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
-import struct
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +51,11 @@ class WordTokens:
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        #: Bytes an id takes, and its little-endian type: the narrower one where all ids fit.
+        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.dtype = f"<u{self.width}"
+        self.code = "H" if self.width == 2 else "I"
+        self.native = sys.byteorder == "little" and array(self.code).itemsize == self.width
         self.merges = self.tokenizer.model
         self.letters = _byte_letters()
         self.marks = {"": b"", **{m: self._whole([m])[0] for m in MARKS}}
@@ -57,7 +63,7 @@ class WordTokens:
         self.old: dict[str, bytes] = {}
 
     def _whole(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def _letters_only(self, core: str) -> bytes | None:
         """Ids of a word of letters; None if its lower case is in doubt."""
@@ -69,7 +75,7 @@ class WordTokens:
                 return None
             word = "".join([self.letters[b] for b in low.encode()])
         ids = [t.id for t in self.merges.tokenize(word)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return array(self.code, ids).tobytes() if self.native else np.array(ids, self.dtype).tobytes()
 
     def _learn(self, new: list[str]) -> None:
         rest, young, old = [], self.young, self.old
@@ -95,7 +101,7 @@ class WordTokens:
             young.update(zip(some, self._whole(some), strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian uint32 ids of each text, without special tokens added."""
+        """Ids of each text as bytes, of dtype, without special tokens added."""
         for text in texts:
             if len(self.young) > REMEMBERED:
                 self.young, self.old = {}, self.young
