@@ -13,6 +13,7 @@ from leafwork.functions import columns
 from leafwork.functions.decoding import decode_lenient_text
 
 #: deltas: doc_id, seq, delta, last (whether the document ends here).
+OPEN, DONE = -1, -2
 FINAL = "doc_id string, text string, value string, errors int, repairs array<string>, truncated boolean, timed_out boolean"
 
 
@@ -40,7 +41,8 @@ def finalize_stream(deltas: DataFrame, schema: str | None = None, timeout: str =
     """A row per document once all deltas up to its last one are there, or once it has timed out.
 
     The state holds a document's deltas by seq, so they may come in any order,
-    or twice. With event_time (a column that has a watermark) the timeout
+    or twice; once it is read an empty mark stays until the timeout, so that a late copy
+    of a delta starts nothing. With event_time (a column that has a watermark) the timeout
     counts event time, else processing time; what has come by then is
     read as a text that was cut off.
     """
@@ -54,24 +56,25 @@ def finalize_stream(deltas: DataFrame, schema: str | None = None, timeout: str =
         return pd.DataFrame([row], columns=["doc_id", "text", "value", "errors", "repairs", "truncated", "timed_out"])
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seqs, texts, end = state.get if state.exists else ([], [], -1)
+        seqs, texts, end = state.get if state.exists else ([], [], OPEN)
         parts = dict(zip(seqs, texts, strict=True))
         if state.hasTimedOut:
             state.remove()
-            yield result(key[0], parts, True)
+            if end != DONE:
+                yield result(key[0], parts, True)
             return
-        latest = 0
+        latest, rows = 0, []
         for b in batches:
-            for row in b.itertuples(index=False):
-                parts.setdefault(int(row.seq), row.delta or "")
-                end = int(row.seq) if row.last else end
+            rows += list(zip(b["seq"], b["delta"], b["last"], strict=True))
             if event_time and len(b):
                 latest = max(latest, int(b[event_time].max().timestamp() * 1000))
-        if end >= 0 and len([k for k in parts if k <= end]) == end + 1:
-            if state.exists:
-                state.remove()
-            yield result(key[0], {k: v for k, v in parts.items() if k <= end}, False)
-            return
+        if end != DONE:
+            for seq, delta, last in rows:
+                parts.setdefault(int(seq), delta or "")
+                end = int(seq) if last else end
+            if end >= 0 and all(k in parts for k in range(end + 1)):
+                yield result(key[0], {k: parts[k] for k in range(end + 1)}, False)
+                parts, end = {}, DONE
         state.update((list(parts), list(parts.values()), end))
         if event_time:
             state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + seconds * 1000)
