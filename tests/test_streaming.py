@@ -3,6 +3,8 @@
 import random
 import uuid
 
+from pyspark.sql import functions as F
+
 from leafwork.functions.decoding import decode_lenient_text
 from leafwork.streaming.finalize import finalize_batch, finalize_stream
 
@@ -33,14 +35,11 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     rows = deltas(2)
     for k in range(3):
         part = rows[k::3] + rows[:1]
-        spark.createDataFrame(part, KIND).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(KIND).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        spark.createDataFrame(part, KIND).withColumn("ts", F.lit("2024-01-01").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(KIND + ", ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withWatermark("ts", "1 minute")
     name = "s" + uuid.uuid4().hex
-    query = finalize_stream(source).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
-    try:
-        query.processAllAvailable()
-    finally:
-        query.stop()
+    query = finalize_stream(source, event_time="ts").writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    assert query.awaitTermination(90)
     got = {r.doc_id: r for r in spark.table(name).collect()}
     assert {k: r.text for k, r in got.items()} == TEXTS
     batch = {r.doc_id: r.read for r in finalize_batch(spark.createDataFrame(rows, KIND)).collect()}
