@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafwork.llm.common import written
 from leafwork.llm.tokens import default_vocabulary, word_tokens
 
 #: Lengths of a bucket of the suffix sums.
@@ -15,7 +16,7 @@ BUCKET = 4096
 
 
 def histogram(docs: DataFrame, *groups: str, text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """(groups, length, documents): how many texts have so many tokens, no special tokens added.
+    """Written (groups, length, documents): how many texts have so many tokens, no special tokens added.
 
     A null text is empty and has length 0. Rows may repeat and count each; null groups are groups. Whole texts
     are encoded; each batch is counted before it is shuffled. An empty table gives none.
@@ -36,7 +37,7 @@ def histogram(docs: DataFrame, *groups: str, text: str = "text", vocabulary: str
                 yield from counted.combine_chunks().to_batches()
 
     counted = docs.select(*groups, text).mapInArrow(run, f"{kinds}length long, documents long")
-    return counted.groupBy(*groups, "length").agg(F.sum("documents").alias("documents"))
+    return written(counted.groupBy(*groups, "length").agg(F.sum("documents").alias("documents")), "lengths")
 
 
 def with_suffix_sums(hist: DataFrame, *groups: str) -> DataFrame:
