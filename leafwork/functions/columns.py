@@ -145,15 +145,31 @@ def encode(json_text: Column | str, profile: str = "canonical", markers: bool =
 
 
 def encode_column(c: Column, kind: T.DataType, profile: str = "canonical", markers: bool = False, doubles: str = "any", braces: str = "exact") -> Column:
-    """Text of a struct column: by expressions alone if its type allows for it, else through the Arrow function."""
+    """Text of a struct column: by expressions alone if its type allows for it, else through the Arrow function.
+
+    A map whose keys aren't strings is refused.
+    """
     from leafwork.functions import native
 
+    _check_keys(kind)
     try:
         return native.encode_struct(c, kind, profile, markers, doubles, braces)
     except native.NotStatic:
         return encode(F.to_json(c, {"ignoreNullFields": "false"}), profile, markers)["text"]
 
 
+def _check_keys(kind: T.DataType) -> None:
+    if isinstance(kind, T.MapType):
+        if not isinstance(kind.keyType, T.StringType):
+            raise Unreadable(f"a map's keys have to be strings, not {kind.keyType.simpleString()}")
+        _check_keys(kind.valueType)
+    elif isinstance(kind, T.ArrayType):
+        _check_keys(kind.elementType)
+    elif isinstance(kind, T.StructType):
+        for f in kind.fields:
+            _check_keys(f.dataType)
+
+
 def decode(text: Column | str, schema: str | None = None) -> Column:
     """Struct (ok, value as JSON, canonical, error, repairs); with a declaration, its types hold."""
     return _decode(_key(schema))(text)

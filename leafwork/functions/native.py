@@ -171,6 +171,8 @@ class Compiler:
             there = F.filter(F.array(*ranked), lambda f: f["text"].isNotNull())
             best = F.array_min(F.transform(there, lambda f: F.struct(F.octet_length(f["text"]).alias("size"), f["rank"].alias("rank"), f["text"].alias("text"))))["text"]
             return F.when(c.isNull(), F.concat(path, F.lit("=null"))).when(F.size(c) == 0, F.concat(path, F.lit("=[]"))).otherwise(best)
+        if not isinstance(t, SCALARS):
+            raise NotStatic(f"a {t.simpleString()} has no static form")
         return self.scalar_leaf(path, c, t)
 
     def by_path(self, path: Column, c: Column, t: T.ArrayType) -> Column:

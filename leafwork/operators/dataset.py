@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.functions import columns
 from leafwork.functions.declarations import declaration_text
 from leafwork.functions.inference import Declared
-from leafwork.operators.leaves import json_leaves
+from leafwork.operators.leaves import json_leaves, steps_text, walk
+from leafwork.operators.ranges import rank_in_group
 
 
 def with_canonical_key(df: DataFrame, json: str, name: str = "canonical") -> DataFrame:
@@ -74,14 +76,14 @@ def stratified_split(df: DataFrame, stratum: str, order: str, share: float, isol
     floor(j n / c), so row r is one of them if floor((r + 1) c / n) stands
     before ceil(r c / n), which each row finds from its own rank.
     """
-    counts = df.groupBy(stratum).agg(F.count("*").alias("__n"))
-    ranks = F.row_number().over(Window.partitionBy(stratum).orderBy(order)) - 1
-    rows = df.withColumn("__r", ranks).join(counts, stratum)
+    counts = df.groupBy(stratum).agg(F.count("*").alias("__n")).withColumnRenamed(stratum, "__stratum")
+    rows = rank_in_group(df, stratum, order, "__r")
+    rows = rows.join(counts, F.col(stratum).eqNullSafe(F.col("__stratum")))
     c = F.ceil(F.lit(share) * F.col("__n")).cast("long")
     j = F.ceil(F.col("__r") * c / F.col("__n")).cast("long")
     chosen = (j < c) & (F.floor(j * F.col("__n") / c) == F.col("__r"))
     split = F.when(F.col(stratum).isin(list(isolated)), "holdout").when(chosen, "eval").otherwise("train")
-    return rows.withColumn("split", split).drop("__n", "__r")
+    return rows.withColumn("split", split).drop("__n", "__r", "__stratum")
 
 
 def render_prompt(task: Column, text: Column, schema: Column | None = None) -> Column:
@@ -90,12 +92,52 @@ def render_prompt(task: Column, text: Column, schema: Column | None = None) -> C
     return F.concat_ws("\n\n", task, block, text)
 
 
-def training_rows(df: DataFrame, json: str, key: str, tasks: list[str], seed: int = 0) -> DataFrame:
-    """(key, messages): a user message with a task picked by hash and the JSON, and the generation text as answer."""
-    prompt = render_prompt(picked(tasks, key, seed=seed), F.col(json))
+def trial_prompt(json: Column, form: Column | str, example: str | None = None) -> Column:
+    """The prompt that asks a model to write an object again in a form, with an example where one is given."""
+    form = F.lit(form) if isinstance(form, str) else form
+    shown = F.lit(None).cast("string") if example is None else F.lit(f"For example:\n{example}")
+    return F.concat_ws("\n\n", F.concat(F.lit("Write this object as "), form, F.lit(".")), shown, json)
+
+
+def _listed(text: str) -> str:
+    lines = []
+    for steps, v in walk(columns.loads(text)):
+        shown = v if isinstance(v, str) else columns.dumps(v)
+        lines.append(f"- {steps_text(steps)} is {shown}")
+    return "\n".join(lines)
+
+
+def instructions(json: Column | str) -> Column:
+    """The leaves of an object, listed in plain words, as a task of its own to write it from; null for what is no JSON."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            try:
+                out.append(None if t is None else _listed(t))
+            except ValueError:
+                out.append(None)
+        return pa.array(out, pa.string())
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, returnType="string")(json)
+
+
+def training_rows(df: DataFrame, json: str, key: str, tasks: list[str], seed: int = 0, instruct: float = 0.0, schema: Column | None = None, with_schema: float = 0.0) -> DataFrame:
+    """(key, messages, meta): a user message, and the object's text in the generation profile as answer.
+
+    By hash of the key a share of rows (instruct) is asked in plain words and the
+    rest by a task picked of tasks; a share (with_schema) shows the declaration too.
+    """
+    share = lambda x, salt: F.pmod(hash_order(key, seed=seed + salt), F.lit(1_000_000)) < int(x * 1_000_000)
+    plain, shown = share(instruct, 1), share(with_schema, 2) & F.lit(schema is not None)
+    task = F.when(plain, F.lit("Write an object from this:")).otherwise(picked(tasks, key, seed=seed))
+    source = F.when(plain, instructions(json)).otherwise(F.col(json)) if instruct else F.col(json)
+    prompt = render_prompt(task, source, F.when(shown, schema) if schema is not None else None)
     answer = columns.encode(F.col(json), "generation")["text"]
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    return df.select(key, F.array(message("user", prompt), message("assistant", answer)).alias("messages"))
+    meta = F.struct(F.when(plain, "instruct").otherwise("translate").alias("task"), shown.alias("has_schema"))
+    return df.select(key, F.array(message("user", prompt), message("assistant", answer)).alias("messages"), meta.alias("meta"))
 
 
 def shape_stats(df: DataFrame, *groups: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafwork.operators.ranges import rank_in_group
+
 
 def unknown(requested: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Requested rows whose key isn't known."""
@@ -38,8 +40,8 @@ def first_seen(df: DataFrame, key: str, position: str) -> DataFrame:
 
 
 def occurrence(df: DataFrame, *keys: str, order: str) -> DataFrame:
-    """df with occurrence: 0 for the first row of its keys by order, then 1, and so on."""
-    return df.withColumn("occurrence", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
+    """df with occurrence: 0 for the first row of its keys by a numeric order, then 1, and so on."""
+    return rank_in_group(df, list(keys), order, "occurrence")
 
 
 def headers_as_of(lines: DataFrame, doc: str = "doc_id", pos: str = "pos") -> DataFrame:

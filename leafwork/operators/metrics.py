@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.functions import columns
+from leafwork.functions import columns, tokenizers
 from leafwork.operators.leaves import json_leaves
 
 
@@ -38,6 +38,20 @@ def savings(cases: DataFrame, *groups: str) -> DataFrame:
     )
 
 
+def token_savings(df: DataFrame, json: str, text: str, vocabularies: list[str], *groups: str) -> DataFrame:
+    """savings by group and tokenizer (the file name of its vocabulary), each counted on its own."""
+    sizes = F.array(
+        *[F.struct(F.lit(tokenizers.name_of(p)).alias("tokenizer"), tokenizers.token_count(json, p).alias("json_size"), tokenizers.token_count(text, p).alias("text_size")) for p in vocabularies]
+    )
+    return savings(df.select(*groups, F.inline(sizes)), *groups, "tokenizer")
+
+
+def format_totals(df: DataFrame, *forms: str, size=byte_size) -> DataFrame:
+    """(form, documents, total): the size of all documents in each of some forms, given as text columns."""
+    sizes = F.array(*[F.struct(F.lit(f).alias("form"), size(F.col(f)).alias("n")) for f in forms])
+    return df.select(F.inline(sizes)).groupBy("form").agg(F.count("n").alias("documents"), F.sum("n").alias("total"))
+
+
 def savings_pivot(cases: DataFrame, rows: str, measure: str, measures: list[str]) -> DataFrame:
     """Median share saved, a row per rows and a column per measure (a bounded, given list)."""
     cases = cases.withColumn("__saved", saving(F.col("json_size"), F.col("text_size")))

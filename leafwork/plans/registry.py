@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafwork.functions import columns, native
+from leafwork.functions import columns, native, tokenizers
 from leafwork.functions.declarations import from_json_schema
-from leafwork.operators import dataset, joins, leaves, metrics
+from leafwork.operators import dataset, joins, leaves, metrics, shapes
 from leafwork.plans import repairs
 from leafwork.sources.files import function_calls
 from leafwork.streaming.finalize import finalize_batch
@@ -297,6 +297,25 @@ def savings_pivot(spark, sf_dir):
     return found.select("event_type", F.round("even", 9).alias("even"), F.round("odd", 9).alias("odd"))
 
 
+@query(f"WITH {SIZES_SQL}, f AS (SELECT 'json' AS form, j AS n FROM s UNION ALL SELECT 'text', t FROM s) SELECT form, count(*) AS documents, sum(n)::BIGINT AS total FROM f GROUP BY form")
+def format_totals(spark, sf_dir):
+    return metrics.format_totals(event_cases(spark, sf_dir), "json", "text")
+
+
+@query()
+def token_savings(spark, sf_dir):
+    """Share of tokens saved against JSON, by group and tokenizer, never blended."""
+    return metrics.token_savings(event_cases(spark, sf_dir), "json", "text", tokenizers.installed(), "event_type")
+
+
+@query()
+def generated_shapes(spark, sf_dir):
+    """Generated objects of every shape, and whether their texts are read back as they were."""
+    rows = shapes.generate(spark, 20)
+    text = columns.encode(F.col("json"))["text"]
+    return rows.select("shape", "seed", "mode", text.alias("text"), (columns.decode(text)["canonical"] == text).alias("same"))
+
+
 @query("SELECT count(*) AS documents, 1.0::DOUBLE AS parse, 1.0::DOUBLE AS fidelity, 1.0::DOUBLE AS idempotent FROM events")
 def roundtrip_rate(spark, sf_dir):
     rows = events_json(spark, sf_dir)
@@ -371,7 +390,7 @@ def first_seen(spark, sf_dir):
     return joins.first_seen(table(spark, sf_dir, "events"), "event_type", "event_id")
 
 
-@query("SELECT event_id, user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INTEGER AS occurrence FROM events")
+@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS occurrence FROM events")
 def key_occurrence(spark, sf_dir):
     return joins.occurrence(table(spark, sf_dir, "events").select("event_id", "user_id"), "user_id", order="event_id")
 

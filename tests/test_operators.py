@@ -5,7 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from leafwork.operators import dataset, joins, leaves, metrics
+from leafwork.functions import columns, tokenizers
+from leafwork.functions.wire import Unreadable
+from leafwork.operators import dataset, joins, leaves, metrics, ranges, shapes
 from leafwork.sources import files
 from leafwork.sources.rows_api import PagedRowsReader
 
@@ -79,3 +81,48 @@ def test_files(spark, tmp_path):
 def test_pages_of_a_rows_service():
     reader = PagedRowsReader({"url": "http://localhost/{offset}/{length}", "total": "250", "length": "100", "pages": "2"})
     assert [p.value for p in reader.partitions()] == [(0, 200), (200, 250)]
+
+
+def test_ranks_of_hot_groups(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"), F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 5).alias("g"))
+    got = ranges.rank_in_group(df, "g", "k").collect()
+    for g in {r.g for r in got}:
+        own = sorted((r.k, r["rank"]) for r in got if r.g == g)
+        assert [n for _, n in own] == list(range(len(own)))
+
+
+def test_shapes_are_read_back(spark):
+    rows = shapes.generate(spark, 15)
+    assert rows.count() == 15 * 2 * 22
+    assert [r for r in dataset.round_tripping(rows, "json").groupBy("shape").count().collect() if r["count"] != 30] == []
+    assert shapes.variation("large_table", 3) == shapes.variation("large_table", 3) != shapes.variation("large_table", 4)
+
+
+def test_training_rows(spark):
+    df = spark.createDataFrame([(i, json.dumps({"a": {"b": i}, "c": ["x"]})) for i in range(200)], "id long, j string")
+    got = dataset.training_rows(df, "j", "id", ["T1", "T2"], instruct=0.5, schema=F.lit("a.b:n\nc[]:s"), with_schema=0.3).collect()
+    assert all(r.messages[1].content == f"a.b={r.id}\nc=[\nx\n]" for r in got)
+    asked = [r for r in got if r.meta.task == "instruct"]
+    assert 60 < len(asked) < 140 and all(f"- a.b is {r.id}\n- c[0] is x" in r.messages[0].content for r in asked)
+    assert all(("<schema>\na.b:n" in r.messages[0].content) == r.meta.has_schema for r in got)
+    assert 30 < sum(r.meta.has_schema for r in got) < 90
+    prompt = spark.range(1).select(dataset.trial_prompt(F.lit("{}"), "leaves", "a=1")).first()[0]
+    assert prompt == "Write this object as leaves.\n\nFor example:\na=1\n\n{}"
+
+
+@pytest.mark.skipif(not tokenizers.installed(), reason="no vocabularies")
+def test_token_counts(spark):
+    df = spark.createDataFrame([("g", '{"id":1,"name":"some words"}', "id=1\nname=some words"), ("g", None, None)], "g string, j string, t string")
+    got = metrics.token_savings(df, "j", "t", tokenizers.installed(), "g").collect()
+    assert len({r.tokenizer for r in got}) == len(tokenizers.installed()) >= 3
+    assert all(r.cases == 2 and 0 < r.aggregate < 1 for r in got)
+    totals = {r.form: (r.documents, r.total) for r in metrics.format_totals(df, "j", "t").collect()}
+    assert totals == {"j": (1, 28), "t": (1, 20)}
+
+
+def test_maps_and_variants(spark):
+    df = spark.sql("select struct(map('b', 1.5D, 'a', null) m, parse_json('{\"z\":[1,{}]}') v) s")
+    assert df.select(columns.encode_column(F.col("s"), df.schema["s"].dataType)).first()[0] == "m.a=null\nm.b=1.5\nv.z[0]=1\nv.z[1]={}"
+    wrong = spark.sql("select struct(map(1, 2) m) s")
+    with pytest.raises(Unreadable):
+        columns.encode_column(F.col("s"), wrong.schema["s"].dataType)
