@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leafwork.operators.ranges import part_of, partitions, splits
+
+__all__ = ["fresh_path", "part_of", "partitions", "running", "shared_dir", "splits", "table", "word_count", "written"]
+
 #: Token of the word definition that every operator here shares.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
@@ -50,33 +53,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def splits(df: DataFrame, key: str, n: int) -> list:
-    """At most n - 1 values that cut the non-null values of key into even parts.
-
-    The driver gets n - 1 numbers whatever the size of df.
-    """
-    shares = [(i + 1) / n for i in range(n - 1)]
-    if not shares:
-        return []
-    found = df.select(F.percentile_approx(key, shares, 100 * n).alias("q")).first()["q"]
-    return sorted(set(found or []))
-
-
-def part_of(key: Column, cuts: list) -> Column:
-    """Number of cuts that are at most key; nulls come first, in part 0."""
-    if not cuts:
-        return F.lit(0)
-    step = math.isqrt(len(cuts)) + 1
-    every, coarse = (F.array(*[F.lit(c) for c in xs]) for xs in (cuts, cuts[step - 1 :: step] or cuts[:1]))
-    most = F.size(F.filter(coarse, lambda c: c <= key)) if len(cuts) >= step else F.lit(0)
-    fine = F.filter(F.slice(every, most * step + 1, step), lambda c: c <= key)
-    return F.when(key.isNull(), F.lit(0)).otherwise(most * step + F.size(fine)).cast("int")
-
-
 def word_count(text: Column) -> Column:
     """Words of a text as a long; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
