@@ -17,6 +17,9 @@ from leafwork.functions.wire import CLOSE, FNV_AGAIN, FNV_PRIME, FNV_START, FRAM
 LINE, TABLE, LITERAL, BLOCK = range(4)
 SCALARS = (T.StringType, T.BooleanType, T.IntegralType, T.FractionalType, T.DecimalType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType, T.NullType)
 
+#: Types whose text is an ISO date or time.
+PLAIN = (T.DateType, T.TimestampType, T.TimestampNTZType)
+
 
 class NotStatic(ValueError):
     """The type needs the Arrow function inside an array, where Spark can't call it."""
@@ -106,11 +109,12 @@ class Compiler:
         edge, tail = _edge_space(s), _opener_tail(s)
         odd = (s == "") | edge | s.startswith(OPEN) | s.isin("[]", "{}") | s.contains(CLOSE) | tail | _literal_like(s) | self.brace_like(s)
         untaggable = edge | tail | (s.startswith(OPEN) & s.endswith(CLOSE))
-        collides = F.exists(F.split(s, "\n"), lambda x: x.isin(CLOSE, CLOSE + "\r"))
-        nonce = F.when(collides, _nonce(s)).otherwise(F.lit(""))
+        block = F.concat(path, F.lit("=" + OPEN + "\n"), s, F.lit("\n" + CLOSE))
+        marked = _let(_nonce(s), lambda nonce: F.concat(path, F.lit("=" + OPEN), nonce, F.lit("\n"), s, F.lit("\n" + CLOSE), nonce))
         return (
             F.when(s.isNull(), F.concat(path, F.lit("=null")))
-            .when(s.contains("\n"), F.concat(path, F.lit("=" + OPEN), nonce, F.lit("\n"), s, F.lit("\n" + CLOSE), nonce))
+            .when(s.rlike(r"(?:^|\n)>>>\r?\n|\n>>>\r?\z"), marked)
+            .when(s.contains("\n"), block)
             .when(~odd, F.concat(path, F.lit("="), s))
             .when(untaggable, F.concat(path, F.lit("="), _wrap(s)))
             .otherwise(F.concat(path, F.lit(":s="), s))
@@ -118,7 +122,13 @@ class Compiler:
 
     def scalar_leaf(self, path: Column, c: Column, t: T.DataType) -> Column:
         s = self.as_string(c, t)
-        return F.concat(path, F.lit("="), self.literal(c, t)) if s is None else self.string_leaf(path, s)
+        if s is None:
+            return F.concat(path, F.lit("="), self.literal(c, t))
+        if isinstance(t, PLAIN):  # never in need of protection
+            return F.concat(path, F.lit("="), F.coalesce(s, F.lit("null")))
+        if isinstance(t, T.StringType):
+            return self.string_leaf(path, s)
+        return _let(s, lambda x: Compiler(self.doubles, "protect").string_leaf(path, x))  # base64 holds no braces
 
     # cells
 
@@ -126,6 +136,8 @@ class Compiler:
         s = self.as_string(c, t)
         if s is None:
             return self.literal(c, t)
+        if isinstance(t, PLAIN):
+            return F.coalesce(s, F.lit("null"))
         odd = (s == "") | _edge_space(s) | (s == "[]") | _literal_like(s)
         if where == "literal":
             odd = odd | s.isin("[", "]", "{}") | s.startswith(OPEN) | self.brace_like(s)
