@@ -94,13 +94,24 @@ def _decode(schema: str | None):
     declared = as_declared(schema)
 
     def one(text: str) -> dict:
-        found = decoding._strict(text, declared)
+        found = decoding.read_strictly(text, declared)
         out = {"ok": found.error is None, "error": found.error, "canonical": found.canonical, "repairs": _notes(found.repairs)}
         return out | ({"value": dumps(found.value)} if found.error is None else {})
 
     return _udf(_over(one, _decoded), DECODED)
 
 
+@lru_cache(64)
+def _values(schema: str | None):
+    declared = as_declared(schema)
+
+    def run(texts: pa.Array) -> pa.Array:
+        found = [None if x is None else decoding.read_strictly(x, declared, canonical=False) for x in texts.to_pylist()]
+        return pa.array([None if f is None or f.error is not None else dumps(f.value) for f in found], pa.string())
+
+    return _udf(run, "string")
+
+
 @lru_cache(64)
 def _lenient_udf(schema: str | None):
     declared = as_declared(schema)
@@ -175,16 +186,21 @@ def decode(text: Column | str, schema: str | None = None) -> Column:
     return _decode(_key(schema))(text)
 
 
+def decode_value(text: Column | str, schema: str | None = None) -> Column:
+    """decode's value as JSON alone, null where reading fails: for queries that ask for nothing else."""
+    return _values(_key(schema))(text)
+
+
 def decode_typed(text: Column | str, schema: str, fields: list[str] | None = None) -> Column:
     """The declared fields as a struct of Spark types (some of them where fields is given); null where reading fails."""
     kind = spark_type(parse_declaration(schema))
     if fields is not None:
         kind = T.StructType([f for f in kind.fields if f.name in set(fields)])
-    return F.from_json(decode(text, schema)["value"], kind)
+    return F.from_json(decode_value(text, schema), kind)
 
 
 def decode_variant(text: Column | str, schema: str | None = None) -> Column:
-    return F.try_parse_json(decode(text, schema)["value"])
+    return F.try_parse_json(decode_value(text, schema))
 
 
 def decode_lenient(text: Column | str, schema: str | None = None) -> Column:

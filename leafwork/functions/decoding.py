@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 from leafwork.functions.declarations import as_declared
-from leafwork.functions.encoding import encode_value
+from leafwork.functions.encoding import check_encodable, encode_value
 from leafwork.functions.inference import OPEN_PLACE, Declared, Reader
 from leafwork.functions.wire import (
     CLOSE,
@@ -495,16 +495,18 @@ def missing_fields(place: Declared, value: object, path: str = ""):
 
 def decode_text(text: str, schema: str | Declared | None = None) -> Result:
     """Strict reading: the object and its canonical text, or an error; the repairs either way."""
-    declared = as_declared(schema)
-    return _strict(text, declared)
+    return read_strictly(text, as_declared(schema))
 
 
-def _strict(text: str, declared: Declared | None) -> Result:
+def read_strictly(text: str, declared: Declared | None, canonical: bool = True) -> Result:
+    """decode_text by a parsed declaration. canonical: False leaves the canonical text out; what it would refuse is refused."""
     document = None
     try:
         document = Document(text, lenient=False)
         value = document.assembled(declared)
-        return Result(value, encode_value(value), repairs=document.repairs)
+        if not canonical:
+            check_encodable(value)
+        return Result(value, encode_value(value) if canonical else None, repairs=document.repairs)
     except (Unreadable, RecursionError) as e:
         return Result(error=str(e) or "nested too deeply", repairs=document.repairs if document else [])
 

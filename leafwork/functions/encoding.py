@@ -139,33 +139,38 @@ class Encoder:
             raise Unreadable(f"non-finite number at {path}: {v}")
         return [Unit(f"{path}={scalar_text(v)}")]
 
-    def object_units(self, v: dict, path: str) -> list[Unit]:
+    def object_units(self, v: dict, path: str, inline: str | None = None) -> list[Unit]:
+        """inline: the object's cells in braces, where they are known."""
         if any(not isinstance(k, str) for k in v):
             raise Unreadable(f"a key at '{path}' is not a string")
         if not v:
             return [Unit(f"{path}={{}}")] if path else []
         out = [u for k in sorted(v) for u in self.units(v[k], f"{path}.{key_text(k)}" if path else key_text(k))]
-        if self.canonical and path and fits_inline(v):
-            inline = f"{path}={inline_text(v)}"
-            if utf16_size(inline) + 1 < size(out):
-                return [Unit(inline)]
+        if self.canonical and path:
+            inline = inline or (inline_text(v) if fits_inline(v) else None)
+            if inline is not None and utf16_size(f"{path}={inline}") + 1 < size(out):
+                return [Unit(f"{path}={inline}")]
         return out
 
     def array_units(self, v: list, path: str) -> list[Unit]:
+        """The least form; of forms of one size by path, then table, inline rows and literal."""
+        inline = [inline_text(x) if fits_inline(x) else None for x in v]
         if not self.canonical:
-            return self.table(v, path) or self.literal(v, path) or self.by_path(v, path)
-        forms = [self.by_path(v, path), self.table(v, path), self.inline_rows(v, path), self.literal(v, path)]
+            return self.table(v, path, inline) or self.literal(v, path, inline) or self.by_path(v, path, inline)
+        forms = [self.by_path(v, path, inline), self.table(v, path, inline), self.inline_rows(path, inline), self.literal(v, path, inline)]
         return min((f for f in forms if f), key=size)
 
-    def by_path(self, v: list, path: str) -> list[Unit]:
-        return [u for i, x in enumerate(v) for u in self.units(x, f"{path}[{i}]")]
+    def by_path(self, v: list, path: str, inline: list[str | None]) -> list[Unit]:
+        return [u for i, x in enumerate(v) for u in (self.object_units(x, f"{path}[{i}]", inline[i]) if isinstance(x, dict) else self.units(x, f"{path}[{i}]"))]
 
-    def table(self, v: list, path: str) -> list[Unit] | None:
+    def table(self, v: list, path: str, inline: list[str | None]) -> list[Unit] | None:
         """A header of the columns and a line per row, where all rows have the same names and plain cells."""
         if len(v) < 2 or not all(isinstance(x, dict) and x for x in v):
             return None
         names = sorted(v[0])
-        if any(x.keys() != v[0].keys() for x in v) or not all(fits_cell(c) for x in v for c in x.values()):
+        if any(x.keys() != v[0].keys() for x in v):
+            return None
+        if not all(row is not None or all(map(fits_cell, x.values())) for row, x in zip(inline, v, strict=True)):
             return None
         if any(mark in n for n in names for mark in (",", OPEN, CLOSE, "=", ":")):
             return None
@@ -176,16 +181,31 @@ class Encoder:
         rows += [f"{path}[{i}]=" + ",".join(cell_text(x[n], plain_in_table) for n in names) for i, x in enumerate(v)]
         return [Unit("\n".join(rows), TABLE)]
 
-    def inline_rows(self, v: list, path: str) -> list[Unit] | None:
-        return [Unit(f"{path}[{i}]={inline_text(x)}") for i, x in enumerate(v)] if all(map(fits_inline, v)) else None
+    def inline_rows(self, path: str, inline: list[str | None]) -> list[Unit] | None:
+        return None if None in inline else [Unit(f"{path}[{i}]={row}") for i, row in enumerate(inline)]
 
-    def literal(self, v: list, path: str) -> list[Unit] | None:
-        if not all(map(fits_literal, v)):
+    def literal(self, v: list, path: str, inline: list[str | None]) -> list[Unit] | None:
+        if not all(row is not None or fits_literal(x) for row, x in zip(inline, v, strict=True)):
             return None
-        rows = [inline_text(x) if isinstance(x, dict) else cell_text(x, plain_in_literal) for x in v]
+        rows = [row or cell_text(x, plain_in_literal) for row, x in zip(inline, v, strict=True)]
         return [Unit("\n".join([f"{path}=[", *rows, "]"]), LITERAL)]
 
 
+def check_encodable(v: object) -> None:
+    """Raise Unreadable where encode_value would for a value that was read."""
+    todo = [v]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, dict):
+            for k in x:
+                key_text(k)
+            todo += x.values()
+        elif isinstance(x, list):
+            todo += x
+        elif not _finite(x):
+            raise Unreadable(f"non-finite number: {x}")
+
+
 def encode_value(v: object, profile: str = "canonical", markers: bool = False) -> str:
     """Text of an object. Raises Unreadable for any other root, non-finite numbers and names that can't be written."""
     if not isinstance(v, dict):

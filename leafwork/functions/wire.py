@@ -124,11 +124,14 @@ def utf16_size(s: str) -> int:
 
 def number_text(x: float) -> str:
     """Shortest digits that give the double back; no exponent from 1e-6 to below 1e21."""
-    x = float(x)
+    try:
+        x = float(x)
+    except OverflowError:
+        raise Unreadable("non-finite number") from None
+    if -1e15 < x < 1e15 and x == int(x):
+        return str(int(x))
     if x != x or x in (float("inf"), float("-inf")):
         raise Unreadable(f"non-finite number: {x}")
-    if x == 0:
-        return "0"
     sign, figures, exponent = Decimal(repr(x)).as_tuple()
     digits = "".join(map(str, figures)).rstrip("0")
     point = len(figures) + exponent
