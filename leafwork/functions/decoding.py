@@ -31,7 +31,7 @@ _ws = f"[{SPACE}]*"
 _fence = re.compile(rf"{_ws}```[a-zA-Z]*\n(.*?)\n```{_ws}", re.S)
 _frame_open = re.compile(rf"{_ws}(?:{'|'.join(map(re.escape, FRAME_OPENERS))})(?:\n|\Z)")
 _frame_close = re.compile(rf"(?:\A|\n)(?:{'|'.join(map(re.escape, FRAME_CLOSERS))}){_ws}\Z")
-_brace_tail = re.compile(rf"=\{{{_ws}(?=[\n\r  ]|\Z)")
+_brace_tail = re.compile(rf"=\{{{_ws}(?=[\n\r\u2028\u2029]|\Z)")
 _opens_braces = re.compile(rf"({DOT}+)=\{{")
 _opens_array = re.compile(rf"({DOT}+)=\[")
 _opens_block = re.compile(rf"({DOT}*?)=<<<([0-9a-fA-F]*)")

@@ -10,7 +10,7 @@ OPEN, CLOSE = "<<<", ">>>"
 FRAME_OPEN, FRAME_CLOSE = "<raif>", "</raif>"
 FRAME_OPENERS = ("<raif>", "<|raif_start|>")
 FRAME_CLOSERS = ("</raif>", "<|raif_end|>")
-SPACE = "\t\n\x0b\x0c\r \xa0                　﻿"
+SPACE = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 NUMBER = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 TYPES = "sntbo"
 FNV_START, FNV_PRIME, FNV_AGAIN = 0x811C9DC5, 0x01000193, 0x9E3779B9

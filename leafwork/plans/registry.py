@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from leafwork.functions import columns, native, tokenizers
 from leafwork.functions.declarations import from_json_schema
+from leafwork.functions.wire import FRAME_CLOSE, FRAME_OPEN
 from leafwork.operators import dataset, joins, leaves, metrics, shapes
 from leafwork.plans import repairs
 from leafwork.sources.files import function_calls
@@ -145,8 +146,8 @@ BODY_SQL = "CASE WHEN contains(text, chr(10)) THEN 'body=<<<' || chr(10) || text
 
 
 @query(
-    f"""SELECT doc_id, '<raif>' || chr(10) || CASE WHEN contains(text, chr(10)) THEN 'id=' || doc_id || chr(10) || 'lang=' || lang || chr(10) || {BODY_SQL}
-  ELSE {BODY_SQL} || chr(10) || 'id=' || doc_id || chr(10) || 'lang=' || lang END || chr(10) || '</raif>' AS text FROM documents"""
+    f"""SELECT doc_id, '{FRAME_OPEN}' || chr(10) || CASE WHEN contains(text, chr(10)) THEN 'id=' || doc_id || chr(10) || 'lang=' || lang || chr(10) || {BODY_SQL}
+  ELSE {BODY_SQL} || chr(10) || 'id=' || doc_id || chr(10) || 'lang=' || lang END || chr(10) || '{FRAME_CLOSE}' AS text FROM documents"""
 )
 def encode_generation_profile(spark, sf_dir):
     fields = {"body": F.col("text"), "id": F.col("doc_id"), "lang": F.col("lang")}

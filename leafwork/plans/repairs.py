@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.functions import columns
+from leafwork.functions.wire import FRAME_CLOSE, FRAME_OPEN
 
 NL = "chr(10)"
 
@@ -39,8 +40,8 @@ CASES: dict[str, Case] = {
     "fence": Case(lines("'```text'", f"'id=' || {ID}", "'```'"), f"""'{{"id":' || {ID} || '}}'""", "markdown_stripped", canonical=f"'id=' || {ID}"),
     "crlf": Case(f"'id=' || {ID} || chr(13) || {NL} || 'name=' || {NAME} || chr(13) || {NL}", f"""'{{"id":' || {ID} || ',"name":"' || {NAME} || '"}}'""", "line_endings_normalized"),
     "stray_cr": Case(f"'id=' || {ID} || {NL} || 'name=' || {NAME} || chr(13) || {NL} || 'z=1'", f"""'{{"id":' || {ID} || ',"name":"' || {NAME} || '","z":1}}'""", "line_endings_normalized"),
-    "markers": Case(lines("'<raif>'", f"'id=' || {ID}", "'</raif>'"), f"""'{{"id":' || {ID} || '}}'""", "mode_markers_stripped"),
-    "truncated": Case(lines("'<raif>'", f"'id=' || {ID}", "'na'"), f"""'{{"id":' || {ID} || '}}'""", "missing_close_marker,mode_markers_stripped", lenient=True, errors=1, truncated=True),
+    "markers": Case(lines(f"'{FRAME_OPEN}'", f"'id=' || {ID}", f"'{FRAME_CLOSE}'"), f"""'{{"id":' || {ID} || '}}'""", "mode_markers_stripped"),
+    "truncated": Case(lines(f"'{FRAME_OPEN}'", f"'id=' || {ID}", "'na'"), f"""'{{"id":' || {ID} || '}}'""", "missing_close_marker,mode_markers_stripped", lenient=True, errors=1, truncated=True),
     "braces": Case(lines("'a={'", f"'  id=' || {ID}", "'  b={'", f"'    name=' || {NAME}", "'  }'", "'}'"), f"""'{{"a":{{"b":{{"name":"' || {NAME} || '"}},"id":' || {ID} || '}}}}'""", "multiline_braces_flattened"),
     "braces_in_block": Case(lines("'t=<<<'", "'a={'", f"{NAME}", "'}'", "'>>>'"), f"""'{{"t":"a={{\\n' || {NAME} || '\\n}}"}}'"""),
     "open_array": Case(lines(f"'id=' || {ID}", "'xs=['", "'1'", "'2'"), f"""'{{"id":' || {ID} || ',"xs":[1,2]}}'""", "unterminated_array_closed_at_eof"),

@@ -6,9 +6,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from leafwork.functions.decoding import decode_lenient_text
+from leafwork.functions.wire import FRAME_OPEN
 from leafwork.streaming.finalize import finalize_batch, finalize_stream
 
-TEXTS = {"a": "id=1\nname=x\ntags=[\n1\n2\n]", "b": "<raif>\nid=2\nbody=<<<\nl1\nl2", "c": "", "d": "```\nid=3\n```"}
+TEXTS = {"a": "id=1\nname=x\ntags=[\n1\n2\n]", "b": FRAME_OPEN + "\nid=2\nbody=<<<\nl1\nl2", "c": "", "d": "```\nid=3\n```"}
 KIND = "doc_id string, seq long, delta string, last boolean"
 
 

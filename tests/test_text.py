@@ -9,7 +9,7 @@ from leafwork.functions import decoding, encoding, wire
 from leafwork.functions.declarations import declaration_text, from_json_schema, from_tool, parse_declaration, spark_type
 from leafwork.streaming.finalize import StreamingDecoder
 
-STRINGS = ["", "a", " x ", "\t", "1", "-0", "1e5", "true", "null", "[]", "{}", "{a=1}", "{a=1,a=2}", "{a={b=1}}", "a,b", "<<<", ">>>", "<<<x>>>", "x>>>", "=[", "k=<<<", "k=<<<ff", "<", "<<", "[", "]", "a\nb", ">>>\n", "\n>>>", "l\r", "l\r\nm", "\x85", " ", "é", "😀", "a=b", "a:b", "::", "{", "}", "a}b", "{a=1e999}", "01", "1.", "</raif>", "```"]
+STRINGS = ["", "a", " x ", "\t", "1", "-0", "1e5", "true", "null", "[]", "{}", "{a=1}", "{a=1,a=2}", "{a={b=1}}", "a,b", "<<<", ">>>", "<<<x>>>", "x>>>", "=[", "k=<<<", "k=<<<ff", "<", "<<", "[", "]", "a\nb", ">>>\n", "\n>>>", "l\r", "l\r\nm", "\x85", " ", "é", "😀", "a=b", "a:b", "::", "{", "}", "a}b", "{a=1e999}", "01", "1.", wire.FRAME_CLOSE, "```"]
 KEYS = ["a", "b", "a.b", "x[0]", "", " k", "k ", "a=b", "a:b", "a,b", "{", "}", "{a}", "é", "😀", "__proto__", "0", "[", "]", "<<", ">>"]
 
 
