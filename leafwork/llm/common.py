@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leafwork.operators.ranges import part_of, partitions, splits
 
-__all__ = ["fresh_path", "part_of", "partitions", "running", "shared_dir", "splits", "table", "word_count", "written"]
+__all__ = ["drop_written", "fresh_path", "part_of", "partitions", "running", "shared_dir", "splits", "table", "word_count", "written"]
 
 #: Token of the word definition that every operator here shares.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,6 +49,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> None:
+    """Remove all tables that written() has left in the shared folder, once no DataFrame needs them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/leafwork")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,7 +1,7 @@
 
 import corpus_pipeline
 from leafwork.llm import queries
-from leafwork.llm.common import part_of, running, splits
+from leafwork.llm.common import drop_written, part_of, running, shared_dir, splits, written
 from pyspark.sql import functions as F
 
 COLUMNS = ["doc_id", "lang", "n_chars", "source", "text"]
@@ -43,3 +43,12 @@ def test_splits_and_running_sums(spark):
         spans = sorted((r.before, r.before + r.v) for r in got if r.g == g)
         assert spans[0][0] == 0
         assert all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_written_tables_can_be_dropped(spark):
+    before = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    assert shared_dir(spark) == before.rstrip("/")
+    df = written(spark.range(5), "five")
+    assert df.count() == 5
+    drop_written(spark)
+    assert written(spark.range(3), "three").count() == 3
