@@ -36,8 +36,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/leafwork/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back.
+def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Write df to the shared folder and read it back. codec: a faster one for what is read often.
 
     This cuts the lineage, so that lost executors cost no recomputation of what
     stands before, and a value such as monotonically_increasing_id() stays what
@@ -45,7 +45,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     adaptive execution can split when a key is hot.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -136,7 +136,9 @@ def near_pairs(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     found = index_rows(long_enough, edits).join(probe_rows(long_enough, edits), "key")
     found = found.where((F.col("line") != F.col("probe")) & letters_near(F.col("letters"), F.col("probe_letters"), edits))
     found = written(found.select(F.least("line", "probe").alias("a"), F.greatest("line", "probe").alias("b")).distinct(), "candidates")
-    texts = long_enough.select("line", "text")
+    # the texts of the lines that have a candidate, gathered once
+    named = found.select(F.explode(F.array("a", "b")).alias("line")).distinct()
+    texts = written(lines.select("line", "text").join(named, "line"), "texts")
     found = found.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
     return found.where(within_edits(F.col("x"), F.col("y"), edits)).select("a", "b")
 
@@ -158,7 +160,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """
     place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "line_no")
     lines = occurrences(docs.select("doc_id", "text")).where(~F.col("text").rlike(BLANK)).groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("text").alias("text"))
-    lines = written(lines.select(F.monotonically_increasing_id().alias("line"), "*", F.length("text").alias("n"), letter_counts(F.col("text")).alias("letters")), "lines")
+    lines = written(lines.select(F.monotonically_increasing_id().alias("line"), "*", F.length("text").alias("n"), letter_counts(F.col("text")).alias("letters")), "lines", "snappy")
     roots = components(near_pairs(lines, edits)).select(F.col("node").alias("line"), "root")
     known = lines.select("line", "h1", "h2", "first").join(roots, "line", "left")
     known = written(known.select("h1", "h2", "first", F.coalesce("root", "line").alias("root")), "rooted")

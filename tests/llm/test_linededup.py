@@ -82,5 +82,5 @@ def test_nulls_ties_and_empty_tables(spark):
     df = spark.createDataFrame(rows, kind)
     got = sorted(((r.doc_id, r.line_no, r.rep_doc_id, r.kept) for r in linededup.deduplicate(df).collect()), key=str)
     assert got == sorted([(None, 0, 4, False), (3, 0, None, True), (4, 0, 4, True), (4, 0, 4, True), (5, 0, 4, False), (5, 1, 5, True)], key=str)
-    texts = sorted((str(r.doc_id), r.text) for r in linededup.without_repeats(df).collect())
-    assert texts == sorted([("None", ""), ("2", None), ("3", ""), ("4", long + "!"), ("4", long + "!"), ("5", "x" * 50_000)], key=str) or len(texts) == 6
+    texts = sorted(((str(r.doc_id), r.text) for r in linededup.without_repeats(df).collect()), key=str)
+    assert texts == sorted([("None", ""), ("2", None), ("3", ""), ("4", long + "!"), ("4", long + "!"), ("5", "x" * 50_000)], key=str)
