@@ -204,3 +204,18 @@ def _forest(near: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
             out_j += to[at[keep]].tolist()
             label[np.isin(label, fresh[keep])] = label[i]
     return np.array(out_i, np.int64), np.array(out_j, np.int64)
+
+
+def near_duplicates_sql(cosine: float = COSINE) -> str:
+    """DuckDB SQL of near_duplicates over embeddings, by all pairs of a label."""
+    return f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e, list_transform(e, lambda x: coalesce(x, 0)) AS f FROM embeddings),
+n AS (SELECT *, sqrt(list_dot_product(f, f)) AS norm FROM v WHERE label IS NOT NULL AND len(e) > 0
+  AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.r AS a, b.r AS b FROM n a JOIN n b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r
+  WHERE list_dot_product(a.f, b.f) / (a.norm * b.norm) >= {cosine}),
+reach AS (SELECT r, r AS at FROM v UNION SELECT reach.r, l.b FROM reach JOIN l ON l.a = reach.at),
+least AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.at GROUP BY reach.r),
+links AS (SELECT a AS r, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(links.n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN least USING (r) LEFT JOIN links USING (r)"""

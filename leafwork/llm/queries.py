@@ -40,6 +40,9 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+ORACLES["op4_embedding_near_dedup"] = embeddings.near_duplicates_sql()
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.with_suffix_sums(tokencounts.histogram(table(spark, sf_dir, "documents")))

@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pytest
 
@@ -34,6 +35,11 @@ def test_links_against_brute_force(spark, options):
     alone = {i: (got[i].n_links, got[i].component_id) for i in (1000, 1001, 1002, 1003, 1004, 1007, 1008)}
     assert alone == {i: (0, i) for i in alone}
     assert (got[1005].n_links, got[1006].component_id) == (1, 1005)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[], label INTEGER)")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?, ?)", [r[:3] for r in rows + odd if r[0] < 250 or r[0] >= 1000])
+    some = embeddings.near_duplicates(df.where("vec_id < 250 or vec_id >= 1000"), **options).collect()
+    assert sorted(map(tuple, some)) == sorted(con.execute(f"SELECT vec_id, n_links, component_id, kept FROM ({embeddings.near_duplicates_sql()})").fetchall())
 
 
 def test_visits_miss_no_pair():
