@@ -34,10 +34,9 @@ def selected(df: DataFrame, json: str, order: str, least_leaves: int = 1) -> tup
     rows = keyed.join(sizes, order, "left").fillna(0, ["leaves"])
     empty = F.coalesce(F.col("canonical") == "", F.lit(True))
     small = ~empty & (F.col("leaves") < least_leaves)
-    good = rows.where(~empty & ~small)
-    kept = deduplicated(good, "canonical", order)
-    dropped = rows.agg(F.count("*").alias("rows"), F.count_if(empty).alias("empty"), F.count_if(small).alias("small"))
-    counted = dropped.join(F.broadcast(good.agg(F.countDistinct("canonical").alias("kept"))))
+    good = ~empty & ~small
+    kept = deduplicated(rows.where(good), "canonical", order)
+    counted = rows.agg(F.count("*").alias("rows"), F.count_if(empty).alias("empty"), F.count_if(small).alias("small"), F.countDistinct(F.when(good, F.col("canonical"))).alias("kept"))
     return kept, counted.withColumn("copies", F.col("rows") - F.col("empty") - F.col("small") - F.col("kept"))
 
 
@@ -159,11 +158,10 @@ def inferred_fields(df: DataFrame, json: str, key: str) -> DataFrame:
     code = F.element_at(F.create_map(*[F.lit(x) for kv in CODES.items() for x in kv]), F.col("vtype"))
     nullish = F.col("vtype").isin("null", "empty_array")
     leaves = leaves.select(key, path.alias("path"), F.when(~nullish, code).alias("code"), nullish.alias("nullish"))
-    total = df.where(F.col(json).isNotNull()).agg(F.count("*").alias("documents"))
+    documents = df.where(F.col(json).isNotNull()).count()
     found = leaves.groupBy("path").agg(F.array_sort(F.collect_set("code")).alias("codes"), F.max("nullish").alias("nullish"), F.countDistinct(key).alias("documents_with"))
-    found = found.join(F.broadcast(total))
     one = F.when(F.size("codes") == 0, F.lit("s")).when(F.size("codes") == 1, F.get("codes", 0)).otherwise(F.lit("o"))
-    return found.select("path", one.alias("code"), (F.col("nullish") | (F.col("documents_with") < F.col("documents"))).alias("optional"))
+    return found.select("path", one.alias("code"), (F.col("nullish") | (F.col("documents_with") < documents)).alias("optional"))
 
 
 def infer_declaration(df: DataFrame, json: str, key: str) -> str:
