@@ -78,8 +78,7 @@ def truncated_totals(sums: DataFrame, limits: list[int]) -> DataFrame:
 def quantile(sums: DataFrame, shares: list[float]) -> DataFrame:
     """(share, length): the least length such that the share of documents has no more tokens."""
     sums = sums.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
-    upto = F.col("__total") - F.col("documents_at_least") + F.col("documents")
-    top = sums.agg(F.max("documents_at_least").alias("__total"))
-    rows = sums.join(F.broadcast(top)).where(upto >= F.ceil(F.col("share") * F.col("__total")))
+    total = sums.agg(F.max("documents_at_least")).first()[0] or 0
+    rows = sums.where(total - F.col("documents_at_least") + F.col("documents") >= F.ceil(F.col("share") * total))
     return rows.groupBy("share").agg(F.min("length").alias("length"))
 
