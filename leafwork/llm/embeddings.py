@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import written
+from leafwork.llm.common import lean, written
 from leafwork.llm.graph import components
 
 COSINE = 0.98
@@ -107,7 +107,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
             rows, cells, home = np.concatenate(rows), np.concatenate(cells), np.concatenate(home)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(cells.astype(np.int64)), pa.array(home)], names=["node", "cell", "home"])
 
-    placed = written(distinct.select("node", "dim", "v").mapInArrow(assign, "node long, cell long, home boolean"), "cells")
+    placed = written(distinct.select("node", "dim", "v").mapInArrow(lean(assign), "node long, cell long, home boolean"), "cells")
     placed = placed.join(distinct.select("node", "dim", "label", "copies", "v"), "node")
     placed = written(placed, "placed")
     sizes = placed.groupBy("label", "dim", "cell").agg(F.count_if("home").alias("own"), F.count_if(~F.col("home")).alias("visits"))
@@ -128,7 +128,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     tasks = F.when(F.col("home"), F.concat(as_left, as_right, with_visits)).otherwise(as_visit)
     keys = ["label", "dim", "cell", "i", "j"]
     grouped = grouped.select("label", "dim", "cell", "node", "copies", "v", F.inline(tasks)).repartition(*keys).sortWithinPartitions(*keys)
-    found = grouped.select(F.xxhash64(*keys).alias("h"), *keys[3:], "role", "node", "copies", "v").mapInArrow(lambda b: _compare(b, cosine), "a long, b long, n long")
+    found = grouped.select(F.xxhash64(*keys).alias("h"), *keys[3:], "role", "node", "copies", "v").mapInArrow(lean(lambda b: _compare(b, cosine)), "a long, b long, n long")
     found = written(found, "found")
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     roots = components(found.where("b is not null")).select(F.col("node").alias("a"), "root")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.llm import textnum
-from leafwork.llm.common import part_of, partitions, splits, written
+from leafwork.llm.common import lean, part_of, partitions, splits, written
 from leafwork.llm.graph import components
 
 WIDTH = 5
@@ -95,7 +95,7 @@ def compare_with_next(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     rows = rows.repartition(partitions(docs.sparkSession), "part")
     rows = rows.sortWithinPartitions("part", "halo", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "halo").mapInArrow(_compare, schema)
+    return rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "halo").mapInArrow(lean(_compare), schema)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
     texts = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.first("text").alias("text"))
-    made = texts.mapInArrow(_fingerprinted, f"h1 long, h2 long, least {docs.schema['doc_id'].dataType.simpleString()}, signature binary, shingles binary")
+    made = texts.mapInArrow(lean(_fingerprinted), f"h1 long, h2 long, least {docs.schema['doc_id'].dataType.simpleString()}, signature binary, shingles binary")
     made = written(made.select(F.monotonically_increasing_id().alias("node"), "*"), "signatures")
     size = 4 * ROWS
     bands = F.array(*[F.struct(F.lit(k).alias("band"), F.xxhash64(F.substring("signature", F.lit(k * size + 1), F.lit(size))).alias("key")) for k in range(BANDS)])
@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     keys = ["band", "key", "i", "j"]
     shared = shared.select("node", "band", "key", F.inline(tasks)).join(made.select("node", "signature", "shingles"), "node")
     shared = shared.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "role", "node", "signature", "shingles")
-    roots = components(shared.mapInArrow(lambda b: _verified(b, similarity), "a long, b long"))
+    roots = components(shared.mapInArrow(lean(lambda b: _verified(b, similarity)), "a long, b long"))
     known = written(made.select("node", "h1", "h2", "least").join(roots, "node", "left").select("h1", "h2", "least", F.coalesce("root", "node").alias("root")), "rooted")
     groups = written(known.groupBy("root").agg(F.min("least").alias("component_id")), "groups")
     named = written(known.join(groups, "root").select("h1", "h2", "component_id"), "named")

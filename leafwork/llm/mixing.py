@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import WORD, partitions, word_count, written
+from leafwork.llm.common import WORD, lean, partitions, word_count, written
 from leafwork.llm.textnum import mix
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -126,7 +126,7 @@ class Mix:
                     if columns:
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(columns, 1)], names=["number", "block", "pass", "shard"])
 
-        return spark.range(0, groups, 1, groups).mapInArrow(run, "number long, block long, pass long, shard long")
+        return spark.range(0, groups, 1, groups).mapInArrow(lean(run), "number long, block long, pass long, shard long")
 
     def pieces(self) -> DataFrame:
         """(number, block, row, first, words): the words of each document in each block."""
@@ -216,7 +216,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     runs = runs.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pass", "runs"))).alias("passes"))
     rows = whole.join(runs, "row").select("doc_id", "text", "lang", "source", "size", F.transform("passes", lambda p: p["runs"]).alias("passes"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, lang string, source string, n_chars long"
-    return rows.mapInArrow(_cut, schema)
+    return rows.mapInArrow(lean(_cut), schema)
 
 
 def merged(runs: list[dict]) -> list[tuple[int, int]]:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwork.llm import cutting_stock
-from leafwork.llm.common import running, written
+from leafwork.llm.common import lean, running, written
 from leafwork.llm.tokens import default_vocabulary, word_tokens
 
 LENGTH, END = 4096, 2
@@ -33,8 +33,9 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None, end: int = END) ->
                 part = b.slice(at, step)
                 ids = [x + last for x in words.encode(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // words.width for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "tokens", "ids"])
+        words.shrink()
 
-    made = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, tokens long, ids binary")
+    made = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lean(run), f"doc_id {kind}, tokens long, ids binary")
     return written(made.select(F.monotonically_increasing_id().alias("row"), "*"), "tokens")
 
 
@@ -139,4 +140,4 @@ def packed(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH,
             columns = zip(*out, strict=True) if out else [[] for _ in types]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwork.llm import textnum
-from leafwork.llm.common import written
+from leafwork.llm.common import lean, written
 from leafwork.llm.graph import components
 
 #: Codes of bit positions: all non-zero vectors of RADIUS + 1 bits.
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, *keep: str, text: str = "text", width: int = 3
             fp = fingerprints_of(b.column(len(names)), width).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(fp)], names=[*names, "fp"])
 
-    return docs.select(*names, text).mapInArrow(run, schema)
+    return docs.select(*names, text).mapInArrow(lean(run), schema)
 
 
 def forest_in_buckets(bucket: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +147,7 @@ def _bucket_links(rows: DataFrame, keys: list[str], radius: int) -> DataFrame:
             yield made(held_key, held_fp)
 
     rows = rows.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys)
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(lean(run), "a long, b long")
 
 
 def links(fps: DataFrame, radius: int = RADIUS, hot: int = 1024) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import written
+from leafwork.llm.common import lean, written
 from leafwork.llm.tokens import default_vocabulary, word_tokens
 
 #: Lengths of a bucket of the suffix sums.
@@ -35,8 +35,9 @@ def histogram(docs: DataFrame, *groups: str, text: str = "text", vocabulary: str
                 counted = pa.Table.from_arrays([*part.columns[:n], lengths], names=[*groups, "length"])
                 counted = counted.group_by([*groups, "length"]).aggregate([([], "count_all")]).rename_columns([*groups, "length", "documents"])
                 yield from counted.combine_chunks().to_batches()
+        words.shrink()
 
-    counted = docs.select(*groups, text).mapInArrow(run, f"{kinds}length long, documents long")
+    counted = docs.select(*groups, text).mapInArrow(lean(run), f"{kinds}length long, documents long")
     return written(counted.groupBy(*groups, "length").agg(F.sum("documents").alias("documents")), "lengths")
 
 

@@ -7,12 +7,15 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 from tokenizers import Tokenizer
 
 #: Words of each of the two generations that a process remembers, at most.
 REMEMBERED = 300_000
+#: Words that are kept between tasks: the first ones met, which are the most frequent.
+KEPT = 100_000
 #: Marks that, after a word of letters, are a token of their own.
 MARKS = ".,;:!?"
 
@@ -100,11 +103,16 @@ class WordTokens:
             some = rest[i : i + 1024]
             young.update(zip(some, self._whole(some), strict=True))
 
+    def shrink(self) -> None:
+        """Forget all but the first words met; an idle process keeps no more."""
+        self.young, self.old = dict(islice(self.young.items(), KEPT)), {}
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as bytes, of dtype, without special tokens added."""
         for text in texts:
             if len(self.young) > REMEMBERED:
-                self.young, self.old = {}, self.young
+                # the first words met go on to be the first ones
+                self.young, self.old = dict(islice(self.young.items(), KEPT)), self.young
             parts = text.replace("\n", " ").split(" ")
             young = self.young
             self._learn([p for p in dict.fromkeys(parts) if p not in young])

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import fresh_path, written
+from leafwork.llm.common import fresh_path, lean, written
 
 #: Bytes of a record's block from which it is cut into segments; bytes of a transfer chunk.
 SEGMENT, CHUNK = 1 << 15, 1 << 13
@@ -143,7 +143,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, segment: int = S
                     out, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    made = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    made = rows.mapInArrow(lean(run), "value binary").select(F.col("value").cast("string"))
     made.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
@@ -177,7 +177,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    found = written(files.mapInArrow(run, schema), "records")
+    found = written(files.mapInArrow(lean(run), schema), "records")
     parts = found.where("number is not null").groupBy("origin").agg(
         F.max("page_id").alias("page_id"), F.max("declared").alias("declared"), F.max("record_type").alias("record_type"), F.collect_list(F.struct("number", "total", "block")).alias("parts")
     )
@@ -192,7 +192,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
                     names=["page_id", "declared", "record_type", "refers_to", "size", "block"],
                 )
 
-    joined = parts.select("page_id", "declared", "record_type", "parts").mapInArrow(join, "page_id long, declared string, record_type string, refers_to long, size long, block binary")
+    joined = parts.select("page_id", "declared", "record_type", "parts").mapInArrow(lean(join), "page_id long, declared string, record_type string, refers_to long, size long, block binary")
     whole = found.where("number is null").select(joined.columns)
     out = whole.union(joined).select("page_id", F.col("size").alias("payload_bytes"), F.col("declared").alias("payload_digest"), "record_type", "refers_to", F.col("block").alias("payload"))
     return out if payloads else out.drop("payload")
