@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from leafwork.operators.ranges import part_of, partitions, splits
 
-__all__ = ["drop_written", "fresh_path", "lean", "part_of", "partitions", "running", "shared_dir", "splits", "table", "word_count", "written"]
+__all__ = ["drop_written", "fresh_path", "give_back", "lean", "part_of", "partitions", "running", "shared_dir", "splits", "table", "word_count", "written"]
 
 #: Token of the word definition that every operator here shares.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -59,6 +59,14 @@ def drop_written(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Return this process's freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, giving freed memory back to the system once its task is over: idle workers stay beside the next tasks."""
 
@@ -67,10 +75,7 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return wrapped
 
