@@ -189,24 +189,31 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     made = written(fingerprints(docs, "doc_id"), "fingerprints")
-    fps = written(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    named = _least(made, F.col("doc_id"), radius).withColumnRenamed("least", "component_id")
+    return made.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def _least(made: DataFrame, value: Column, radius: int) -> DataFrame:
+    """Written rows (fp, least): the smallest value of all rows in the fingerprint's component."""
+    fps = written(made.groupBy("fp").agg(F.min(value).alias("least")), "distinct")
     roots = components(links(fps, radius)).select(F.col("node").alias("fp"), "root")
     known = fps.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     known = written(known, "rooted")
-    groups = written(known.groupBy("root").agg(F.min("least").alias("component_id")), "groups")
-    named = written(known.join(groups, "root").select("fp", "component_id"), "named")
-    return made.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    groups = written(known.groupBy("root").agg(F.min("least").alias("least")), "groups")
+    return written(known.drop("least").join(groups, "root").select("fp", "least"), "named")
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs with one document of each near-duplicate group: that of the smallest doc_id.
 
-    Of rows that repeat this doc_id the one whose text has the least hash stays. A document
-    without a doc_id can't stand for a group, nor be told from others, and stays.
+    Of a group's rows that repeat this doc_id the one whose text has the least hash stays; rows of other
+    groups that repeat it stand for theirs. A document without a doc_id can't stand for a group, nor be
+    told from others, and stays.
     """
-    kept = near_duplicates(docs, radius=radius).where("doc_id = component_id").select("doc_id", F.lit(True).alias("__kept")).distinct()
-    rows = docs.join(written(kept, "kept"), "doc_id", "left").where("__kept or doc_id is null")
-    text = F.xxhash64("text")
-    own = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), text)).orderBy(text)
-    rows = rows.withColumn("__n", F.row_number().over(own)).where("__n = 1 or doc_id is null")
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    made = written(fingerprints(hashed, "doc_id", "hash"), "fingerprints")
+    named = _least(made, F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "hash")), radius)
+    kept = named.where("least is not null").select("least.doc_id", F.col("least.hash").alias("__hash"), F.lit(True).alias("__kept")).distinct()
+    rows = docs.withColumn("__hash", F.xxhash64("text")).join(written(kept, "kept"), ["doc_id", "__hash"], "left").where("__kept or doc_id is null")
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__hash").orderBy("__hash"))).where("__n = 1 or doc_id is null")
     return rows.select(*docs.columns)

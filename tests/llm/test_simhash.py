@@ -98,3 +98,13 @@ def test_null_ids_repeats_and_empty_tables(spark):
     kept = simhash.one_of_each(spark.createDataFrame(rows, kind)).collect()
     assert sum(r.doc_id == 7 for r in kept) == 1
     assert sum(r.doc_id is None for r in kept) == 3
+
+
+def test_a_repeated_id_stands_for_each_of_its_groups(spark):
+    rng = random.Random(8)
+    a, b, c = (" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(40)) for _ in range(3))
+    rows = [(3, a), (5, a), (5, b), (5, b), (6, b), (7, c), (7, None), (None, c)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(3, a), (5, b), (7, c), (7, None), (None, c)], key=str)
+    kept = simhash.one_of_each(spark.createDataFrame([(5, a), (5, b)], "doc_id long, text string")).collect()
+    assert sorted(r.text for r in kept) == sorted([a, b])
