@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from leafwork.llm import linededup
@@ -36,13 +37,32 @@ def test_verification_against_full_table(spark):
         rows.append((a, edited(rng, a, rng.randint(0, 4))))
     got = spark.createDataFrame(rows, "a string, b string").select("a", "b", linededup.within_edits(F.col("a"), F.col("b")).alias("near")).collect()
     assert all(r.near == (distance(r.a, r.b) <= 2) for r in got)
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", linededup.within_edits(F.col("a"), F.col("b"), 2, 4).alias("near")).collect()
+    assert all(r.near == (distance(r.a, r.b) <= min(2, min(len(r.a), len(r.b)) // 4)) for r in got)
+    assert {min(2, min(len(r.a), len(r.b)) // 4) for r in got if r.near} == {0, 1, 2}
 
 
-def test_classes_against_brute_force(spark):
+def near(a, b, edits=2, span=10):
+    """Whether two lines are linked, by the full table."""
+    most = min(edits, min(len(a), len(b)) // span)
+    return a == b or (most > 0 and abs(len(a) - len(b)) <= most and distance(a, b) <= most)
+
+
+def test_letter_counts_never_refuse_a_near_pair(spark):
+    rng, rows = random.Random(5), []
+    for _ in range(300):
+        a = "".join(rng.choice(linededup.LETTERS + "xé") for _ in range(rng.randint(10, 400)))
+        rows.append((a, edited(rng, a, rng.randint(0, 2))))
+    df = spark.createDataFrame(rows, "a string, b string").select(*[linededup.letter_counts(F.col(k)).alias(k) for k in "ab"])
+    assert df.where(~linededup.letters_near(F.col("a"), F.col("b"))).count() == 0
+
+
+@pytest.mark.parametrize("edits, span", [(2, 10), (1, 5), (3, 6)])
+def test_classes_against_brute_force(spark, edits, span):
     rng = random.Random(2)
     lines = []
     for _ in range(40):
-        base = "".join(rng.choice("abcdefgh é") for _ in range(rng.randint(18, 44)))
+        base = "".join(rng.choice("abcdefgh é") for _ in range(rng.randint(4, 44)))
         lines += [edited(rng, base, rng.randint(0, 3)) for _ in range(5)]
     rng.shuffle(lines)
     lines[:4] = ["", "  ", "Of.", "Of."]
@@ -57,16 +77,16 @@ def test_classes_against_brute_force(spark):
     for i, a in enumerate(lines):
         for j in range(i):
             b = lines[j]
-            if a.strip() and (a == b or (min(len(a), len(b)) > linededup.SHORT and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2)):
+            if a.strip() and b.strip() and near(a, b, edits, span):
                 label[max(find(i), find(j))] = min(find(i), find(j))
     df = spark.createDataFrame(docs, "doc_id long, text string, line string, n_chars long")
-    got = {(r.doc_id, r.line_no): r for r in linededup.deduplicate(df).collect()}
+    got = {(r.doc_id, r.line_no): r for r in linededup.deduplicate(df, edits, span).collect()}
     for k, line in enumerate(lines):
         r = got[k // 4, k % 4]
         if line.strip():
             assert (r.rep_doc_id, r.rep_line_no) == (find(k) // 4, find(k) % 4)
         assert r.kept == (not line.strip() or find(k) == k)
-    left = {r.doc_id: r for r in linededup.without_repeats(df).collect()}
+    left = {r.doc_id: r for r in linededup.without_repeats(df, edits, span).collect()}
     for i, text, line, _ in docs:
         want = "\n".join(x for n, x in enumerate(text.split("\n")) if got[i, n].kept)
         assert left[i].text == want
