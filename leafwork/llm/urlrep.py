@@ -22,6 +22,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 Z, BAD = 1.645, 0.5
 #: Range of a level's prior weight, in pages.
 WEIGHTS = (1.0, 1000.0)
+#: Suffixes of two labels that names are registered under; a host of another ending is registered under its last label.
+SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "ne.jp", "or.jp", "org.au", "org.uk")
 
 
 def host_of(url: Column) -> Column:
@@ -45,8 +47,16 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
 
 
-def _last_labels(host: Column, n: int) -> Column:
-    return F.substring_index(host, ".", -n)
+def suffix_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The last label, or the last two where they are one of suffixes."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(list(suffixes)), two).otherwise(F.substring_index(host, ".", -1))
+
+
+def domain_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The suffix and the label before it: what is registered."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(list(suffixes)), F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def _level(df: DataFrame) -> tuple[float, float]:
@@ -71,18 +81,18 @@ def _level(df: DataFrame) -> tuple[float, float]:
     return m, min(WEIGHTS[1], max(WEIGHTS[0], m * (1 - m) * room / spread - 1))
 
 
-def reputations(outcomes: DataFrame) -> DataFrame:
+def reputations(outcomes: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """Posterior of each host's rate of bad pages: (host, n, bad, mean, lower, upper).
 
     outcomes has host and bad (0 or 1; null: no outcome, though the host is
     still scored). A host's beta prior is centred on its registered domain's
     posterior mean, that on its suffix's, and that on the mean of all pages;
-    each level's weight is fitted to the spread between its groups. The
-    registered domain is the last two labels of the host, the suffix the last.
+    each level's weight is fitted to the spread between its groups. The suffix is the last label, or the last two where
+    suffixes has them, and the registered domain has one label more.
     A host's pages are summed before they are shuffled.
     """
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
-    hosts = written(hosts.select("*", _last_labels(F.col("host"), 2).alias("domain"), _last_labels(F.col("host"), 1).alias("suffix")), "hosts")
+    hosts = written(hosts.select("*", domain_of(F.col("host"), suffixes).alias("domain"), suffix_of(F.col("host"), suffixes).alias("suffix")), "hosts")
     domains = written(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     (overall, wide), (_, middle), (_, near) = (_level(x.where("n > 0")) for x in (suffixes, domains, hosts))
@@ -97,26 +107,28 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     return out.select("*", (F.col("mean") - half).alias("lower"), (F.col("mean") + half).alias("upper"))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, url: str = "url", page_id: str = "page_id") -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, url: str = "url", page_id: str = "page_id", suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row of pages.
 
     A rule (host, path) fits its host and all subdomains where the path starts
     with its path; the longest decides. Where none fits, the host's reputation
-    does: each page is an outcome, bad if a rule blocks it, and a host is
-    blocked when the lower bound of its posterior rate passes BAD. A null url, or
+    does: each page that a rule fits is labelled by it, as bad if it blocks it, others say nothing about their host, and a host is
+    blocked when the lower bound of its posterior rate of bad pages passes BAD. A null url, or
     one without ://, has empty host and path and is judged as host "". Rows
     may repeat; other columns are not read; an empty table gives none.
     """
     urls = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     urls = urls.withColumn("fits", fitting_rule(F.col("host"), F.col("path"), rules))
-    bad = F.coalesce((F.col("fits.verdict") == "block").cast("int"), F.lit(0))
-    scored = reputations(urls.select("host", bad.alias("bad")))
+    bad = (F.col("fits.verdict") == "block").cast("int")
+    scored = reputations(urls.select("host", bad.alias("bad")), suffixes)
     blocked = written(scored.where(F.round("lower", 9) > BAD).select("host", F.lit("block").alias("by_host")), "blocked")
     return urls.join(blocked, "host", "left").select("page_id", "host", "path", F.col("fits.rule").alias("rule"), F.coalesce("fits.verdict", "by_host", F.lit("allow")).alias("verdict"))
 
 
-def judge_sql(rules: list[tuple[str, str, str]] = RULES) -> str:
+def judge_sql(rules: list[tuple[str, str, str]] = RULES, suffixes: tuple[str, ...] = SUFFIXES) -> str:
     """DuckDB SQL of judge over pages."""
+    known = ", ".join(f"'{x}'" for x in suffixes)
+    two = "array_to_string(string_split(host, '.')[-2:], '.')"
     values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in rules)
     low, high = WEIGHTS
 
@@ -135,8 +147,9 @@ parts AS (SELECT rowid AS row, page_id,
 urls AS (SELECT row, any_value(page_id) AS page_id, any_value(host) AS host, any_value(path) AS path,
     arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict
   FROM parts LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY row),
-hosts AS (SELECT host, count(*) AS n, count(*) FILTER (verdict = 'block') AS bad,
-    array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM urls GROUP BY host),
+hosts AS (SELECT host, count(verdict) AS n, count(*) FILTER (verdict = 'block') AS bad,
+    CASE WHEN {two} IN ({known}) THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE {two} END AS domain,
+    CASE WHEN {two} IN ({known}) THEN {two} ELSE string_split(host, '.')[-1] END AS suffix FROM urls GROUP BY host),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
 l1 AS ({level("suffixes")}), l2 AS ({level("domains")}), l3 AS ({level("hosts")}),

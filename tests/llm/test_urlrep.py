@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from leafwork.llm import urlrep
 
@@ -27,7 +28,7 @@ def test_rules_and_verdicts(spark):
     assert all(by[i].host == "" and by[i].path == "" for i in (0, 1, 2))
     assert by[16].host == "É.org"
     assert (by[58].rule, by[58].verdict) == (None, "block")
-    assert by[12].verdict == "allow"
+    assert by[12].verdict == "block"  # all labelled pages of its host are blocked
 
 
 def test_against_sql(spark):
@@ -48,6 +49,21 @@ def test_shrinkage(spark):
     assert all(r.lower <= r.mean <= r.upper for r in got.values())
 
 
+def test_pages_without_a_rule_say_nothing(spark):
+    rows = [(i, f"http://a.b.org/{k}/{i}", None, None) for i, k in enumerate("x" * 30 + "y" * 30 + "z" * 400)]
+    rules = [("a.b.org", "/x", "block"), ("a.b.org", "/y", "allow")]
+    got = urlrep.judge(spark.createDataFrame(rows, KIND), rules).collect()
+    assert {r.verdict for r in got if r.rule is None} == {"allow"}
+    got = urlrep.judge(spark.createDataFrame(rows, KIND), rules[:1]).collect()
+    assert {r.verdict for r in got if r.rule is None} == {"block"}
+
+
+def test_registered_domains(spark):
+    hosts = ["a.b.co.uk", "b.co.uk", "co.uk", "uk", "a.b.org", "org", ""]
+    got = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", urlrep.domain_of(F.col("host")).alias("d"), urlrep.suffix_of(F.col("host")).alias("s")).collect()
+    assert [(r.d, r.s) for r in got] == [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("uk", "uk"), ("b.org", "org"), ("org", "org"), ("", "")]
+
+
 def test_empty_table(spark):
     assert urlrep.judge(spark.createDataFrame([], KIND)).count() == 0
 
