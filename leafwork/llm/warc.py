@@ -17,6 +17,8 @@ from leafwork.llm.common import fresh_path, lean, written
 
 #: Bytes of a record's block from which it is cut into segments; bytes of a transfer chunk.
 SEGMENT, CHUNK = 1 << 15, 1 << 13
+#: Records of an archive, at most: with records of a segment each, some 64 MB before they are compressed.
+RECORDS = 2048
 CRLF = b"\r\n"
 DATE = "2000-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -50,27 +52,35 @@ def unchunked(body: bytes) -> bytes:
         at += n + 2
 
 
+#: What stands after each record, as a gzip member of its own: the line ends that close it.
+CLOSING = gzip.compress(CRLF + CRLF, 6, mtime=0)
+
+
 def record(fields: list[tuple[str, object]], block: bytes) -> bytes:
-    """A record without the two line ends after it, which the writer puts between records."""
+    """A record without the two line ends after it, which the writer puts behind each."""
     head = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", len(block))] if v is not None)
     return b"WARC/1.1\r\n" + head.encode() + CRLF + block
 
 
-def records(row: int, page_id: int | None, url: str | None, payload: bytes, first: int | None, revisit: bool, segment: int = SEGMENT) -> Iterator[bytes]:
-    """The records of one page: a revisit, or a response in as many segments as it takes."""
-    own = f"<urn:page:{page_id}:{row}>"
+def record_id(row: int) -> str:
+    return f"<urn:page-row:{row}>"
+
+
+def records(row: int, page_id: int | None, url: str | None, payload: bytes, refers: int | None = None, segment: int = SEGMENT) -> Iterator[bytes]:
+    """The records of one page: a revisit of the response of the row refers, or a response in as many segments as it takes."""
+    own = record_id(row)
     common = [("WARC-Date", DATE), ("WARC-Target-URI", None if url is None else quote(url, safe=":/?#[]@!$&'()*+,;=%~")), ("X-Page-Id", page_id)]
     value = ("WARC-Payload-Digest", f"sha1:{digest(payload)}")
     kind = ("Content-Type", "application/http;msgtype=response")
     line = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
-    if revisit:
+    if refers is not None:
         block = line + b"Content-Length: %d\r\n\r\n" % len(payload)
-        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, ("WARC-Profile", REVISIT), ("WARC-Refers-To", f"<urn:page:{first}>"), value, kind], block)
+        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, ("WARC-Profile", REVISIT), ("WARC-Refers-To", record_id(refers)), value, kind], block)
         return
     block = line + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
     for k, part in enumerate(parts, 1):
-        fields = [("WARC-Type", "response" if k == 1 else "continuation"), ("WARC-Record-ID", own if k == 1 else f"<urn:page:{page_id}:{row}:{k}>"), *common]
+        fields = [("WARC-Type", "response" if k == 1 else "continuation"), ("WARC-Record-ID", own if k == 1 else f"<urn:page-row:{row}:{k}>"), *common]
         if k == 1:
             fields += [value, kind]
         if len(parts) > 1:
@@ -120,48 +130,60 @@ def reassembled(parts: list[tuple[int, int | None, bytes]]) -> bytes:
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0, segment: int = SEGMENT) -> None:
-    """Write a record per row of pages (page_id, url, html) into gzipped archives under path.
+    """Write a record per row of pages (page_id, url, html) into archives under path, of at most RECORDS records.
 
-    Among rows of equal payload of at least so many bytes those with the smallest page_id are
-    responses and the others revisit it; null html is an empty payload.
+    Each record is a gzip member. Among rows of equal payload of at least so many bytes those with the smallest page_id are
+    responses and the others revisit one of them, by its record's id; null html is an empty payload.
     """
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    pages = pages.withColumn("sha", F.sha2(F.encode("html", "UTF-8"), 256))
-    shared = pages.where(F.octet_length("html") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    rows = pages.join(written(shared.select("sha", "first"), "payloads"), "sha", "left")
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", "html", "first", (F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
+    # written, so that a row's number is what it was when the numbers were compared
+    pages = written(pages.select(F.monotonically_increasing_id().alias("row"), "*", F.sha2(F.encode("html", "UTF-8"), 256).alias("sha")), "pages")
+    shared = pages.where(F.octet_length("html") >= least).groupBy("sha").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("first"), F.count("*").alias("n")).where("n > 1")
+    rows = pages.join(written(shared.select("sha", F.col("first.page_id").alias("first"), F.col("first.row").alias("target")), "payloads"), "sha", "left")
+    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    rows = rows.select("row", "page_id", "url", "html", F.when(revisit, F.col("target")).alias("refers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, size = [], 0
-            for row, page_id, url, html, first, revisit in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for r in records(row, page_id, url, html.encode(), first, revisit, segment):
-                    out.append(r)
-                    size += len(r)
+            for row, page_id, url, html, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for r in records(row, page_id, url, html.encode(), refers, segment):
+                    out.append(gzip.compress(r, 6, mtime=0))
+                    size += len(out[-1])
                 if size > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
                     out, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     made = rows.mapInArrow(lean(run), "value binary").select(F.col("value").cast("string"))
-    made.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    # the writer puts the bytes of a value and of what stands between values as they are
+    made.write.option("encoding", "ISO-8859-1").option("lineSep", CLOSING.decode("latin-1")).option("compression", "none").option("maxRecordsPerFile", RECORDS).text(path)
+
+
+_FIELDS = {
+    "origin": pa.string(), "number": pa.int32(), "total": pa.int64(), "id": pa.string(), "page_id": pa.int64(), "declared": pa.string(),
+    "record_type": pa.string(), "target": pa.string(), "size": pa.int64(), "block": pa.binary(),
+}
+_SCHEMA = "origin string, number int, total long, id string, page_id long, declared string, record_type string, target string, size long, block binary"
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _FIELDS.values(), strict=True)], names=list(_FIELDS))
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """One row per response or revisit of the archives under path.
+    """One row per response or revisit of the archives under path, gzipped or not.
 
     (page_id, payload_bytes, payload_digest, record_type, refers_to, and payload where asked.)
     Responses in segments are put together by origin and number, wherever
     their segments stand, and their total length is checked; whole ones are
     decoded as they are read. A payload that does not have its record's digest is an
-    error.
+    error. A revisit is joined with the response that it names, and has that one's payload, size and digest; one whose response
+    isn't there, or has another digest or size than the revisit says, is an error.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
-    schema = "origin string, number int, total long, page_id long, declared string, record_type string, refers_to long, size long, block binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in schema.split(", ")]
-        types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
         for b in batches:
             for content in b.column(0):
                 data = content.as_py()
@@ -172,30 +194,32 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
                         out.append(row if payloads or row[1] else (*row[:-1], None))
                         size += len(out[-1][-1] or b"") + 100
                     if size > 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                        yield _batch(out)
                         out, size = [], 0
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                    yield _batch(out)
 
-    found = written(files.mapInArrow(lean(run), schema), "records")
+    found = written(files.mapInArrow(lean(run), _SCHEMA), "records")
     parts = found.where("number is not null").groupBy("origin").agg(
         F.max("page_id").alias("page_id"), F.max("declared").alias("declared"), F.max("record_type").alias("record_type"), F.collect_list(F.struct("number", "total", "block")).alias("parts")
     )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for page_id, declared, kind, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for origin, page_id, declared, kind, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 payload = payload_of(reassembled([(p["number"], p["total"], p["block"]) for p in parts]))[0]
-                made = _checked(payload, declared)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([page_id], pa.int64()), pa.array([made]), pa.array([kind]), pa.array([None], pa.int64()), pa.array([len(payload)], pa.int64()), pa.array([payload if payloads else None], pa.binary())],
-                    names=["page_id", "declared", "record_type", "refers_to", "size", "block"],
-                )
+                yield _batch([(None, None, None, origin, page_id, _checked(payload, declared), kind, None, len(payload), payload if payloads else None)])
 
-    joined = parts.select("page_id", "declared", "record_type", "parts").mapInArrow(lean(join), "page_id long, declared string, record_type string, refers_to long, size long, block binary")
-    whole = found.where("number is null").select(joined.columns)
-    out = whole.union(joined).select("page_id", F.col("size").alias("payload_bytes"), F.col("declared").alias("payload_digest"), "record_type", "refers_to", F.col("block").alias("payload"))
-    return out if payloads else out.drop("payload")
+    joined = parts.select("origin", "page_id", "declared", "record_type", "parts").mapInArrow(lean(join), _SCHEMA)
+    whole = written(found.where("number is null").union(joined), "whole")
+    responses = whole.where("target is null")
+    named = responses.select(F.col("id").alias("target"), F.col("page_id").alias("refers_to"), F.col("size").alias("found_size"), F.col("declared").alias("found"), *([F.col("block").alias("found_block")] if payloads else []))
+    revisits = whole.where("target is not null").join(named, "target", "left")
+    wrong = F.col("found").isNull() | (F.col("found") != F.col("declared")) | (F.col("found_size") != F.col("size"))
+    digest_ = F.when(wrong, F.raise_error(F.concat(F.lit("a revisit does not fit its response: "), "target"))).otherwise(F.col("found"))
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *(["payload"] if payloads else [])]
+    out = responses.select("page_id", "size", "declared", "record_type", F.lit(None).cast("long"), *(["block"] if payloads else [])).toDF(*names)
+    return out.union(revisits.select("page_id", "found_size", digest_, "record_type", "refers_to", *(["found_block"] if payloads else [])).toDF(*names))
 
 
 def _checked(payload: bytes, declared: str | None) -> str:
@@ -206,22 +230,21 @@ def _checked(payload: bytes, declared: str | None) -> str:
 
 
 def _row(fields: dict[str, str], block: bytes) -> tuple | None:
-    kind = fields.get("warc-type")
+    """The values of _FIELDS for a response, a segment of one, or a revisit."""
+    kind, own = fields.get("warc-type"), fields.get("warc-record-id")
     page = fields.get("x-page-id")
     page_id = int(page) if page not in (None, "None") else None
     declared = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
     number = fields.get("warc-segment-number")
     if kind in ("response", "continuation") and number is not None:
         total = fields.get("warc-segment-total-length")
-        origin = fields["warc-record-id"] if int(number) == 1 else fields["warc-segment-origin-id"]
-        own = kind == "response"
-        return origin, int(number), int(total) if total else None, page_id if own else None, declared, kind if own else None, None, None, block
+        first = kind == "response"
+        return own if first else fields["warc-segment-origin-id"], int(number), int(total) if total else None, own, page_id if first else None, declared, kind if first else None, None, None, block
     if kind == "response":
         payload, _ = payload_of(block)
-        return None, None, None, page_id, _checked(payload, declared), kind, None, len(payload), payload
+        return None, None, None, own, page_id, _checked(payload, declared), kind, None, len(payload), payload
     if kind == "revisit":
-        refers = fields["warc-refers-to"].removeprefix("<urn:page:").removesuffix(">")
-        return None, None, None, page_id, declared, kind, int(refers), int(payload_of(block)[1]["content-length"]), None
+        return None, None, None, own, page_id, declared, kind, fields["warc-refers-to"], int(payload_of(block)[1]["content-length"]), None
     return None
 
 

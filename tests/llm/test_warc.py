@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import io
 import random
+from pathlib import Path
 
 import pytest
 
@@ -26,7 +27,7 @@ def test_framing():
 
 def test_records_of_a_long_page():
     payload = b"x\r\n\r\n" * 3000
-    found = list(warc.records(4, 9, "http://a.b/c d\r\né", payload, None, False, segment=1000))
+    found = list(warc.records(4, 9, "http://a.b/c d\r\né", payload, segment=1000))
     assert len(found) > 10
     read = list(warc.parse(io.BufferedReader(io.BytesIO(b"\r\n\r\n".join(found) + b"\r\n\r\n"))))
     origin = read[0][0]["warc-record-id"]
@@ -56,8 +57,13 @@ def test_archives_give_the_pages_back(spark):
     assert warc.round_trip(spark.createDataFrame([], KIND)).count() == 0
     path = fresh_path(spark, "payloads")
     warc.write_archives(pages, path, segment=500)
-    texts = {r.page_id: bytes(r.payload).decode() for r in warc.read_archives(spark, path, payloads=True).collect() if r.record_type == "response" and r.page_id is not None}
-    assert all(texts[i] == h for h, i in first.items())
+    read = warc.read_archives(spark, path, payloads=True).collect()
+    assert sorted(((str(r.page_id), bytes(r.payload).decode()) for r in read)) == sorted((str(i), h or "") for i, _, h, _ in rows)
+    # any reader of the format finds one record a gzip member, and the response that a revisit names
+    records = [x for f in Path(path.removeprefix("file://")).glob("part-*") for x in warc.parse(io.BufferedReader(gzip.GzipFile(f)))]
+    ids = {f["warc-record-id"]: f["warc-type"] for f, _ in records}
+    assert len(ids) == len(records)
+    assert {ids[f["warc-refers-to"]] for f, _ in records if f["warc-type"] == "revisit"} == {"response"}
 
 
 def test_small_payloads_never_revisit(spark):
@@ -67,9 +73,32 @@ def test_small_payloads_never_revisit(spark):
 
 
 def test_plain_files_are_read_too(tmp_path, spark):
-    records = b"\r\n\r\n".join(warc.records(0, 1, "http://a/", b"hello", None, False)) + b"\r\n\r\n"
+    records = b"\r\n\r\n".join(warc.records(0, 1, "http://a/", b"hello")) + b"\r\n\r\n"
     (tmp_path / "a.warc").write_bytes(records)
     (tmp_path / "b.warc.gz").write_bytes(gzip.compress(records))
     got = warc.read_archives(spark, f"file://{tmp_path}", payloads=True).collect()
     assert [(r.page_id, bytes(r.payload)) for r in got] == [(1, b"hello")] * 2
     assert warc.digest(b"hello") == __import__("base64").b32encode(hashlib.sha1(b"hello").digest()).decode()
+
+
+def broken(tmp_path, spark, *records):
+    (tmp_path / "a.warc").write_bytes(b"".join(r + b"\r\n\r\n" for r in records))
+    return warc.read_archives(spark, f"file://{tmp_path}").collect()
+
+
+def test_wrong_archives_are_errors(tmp_path, spark):
+    one, other = list(warc.records(0, 1, None, b"x" * 3000, segment=1000)), next(warc.records(1, 2, None, b"hello"))
+    revisit = next(warc.records(2, 3, None, b"hello", refers=1))
+    assert [(r.page_id, r.refers_to, r.payload_bytes) for r in broken(tmp_path, spark, other, revisit)] == [(2, None, 5), (3, 2, 5)]
+    for records in ([one[0], *one[2:]], [*one[:-1], one[-1].replace(b"Total-Length: ", b"Total-Length: 9")], [other.replace(b"hello", b"jello")], [revisit], [other, next(warc.records(2, 3, None, b"hullo", refers=1))]):
+        with pytest.raises(Exception):  # noqa: B017, PT011
+            broken(tmp_path, spark, *records)
+
+
+def test_archives_are_bounded(monkeypatch, spark):
+    monkeypatch.setattr(warc, "RECORDS", 3)
+    path = fresh_path(spark, "bounded")
+    warc.write_archives(spark.range(10).selectExpr("id page_id", "cast(null as string) url", "string(id) html").coalesce(1), path)
+    files = list(Path(path.removeprefix("file://")).glob("part-*"))
+    assert len(files) == 4
+    assert sum(gzip.open(f).read().count(b"WARC-Type") for f in files) == 10
