@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,11 +15,13 @@ from pyspark.sql import functions as F
 
 from leafwork.operators.ranges import part_of, partitions, splits
 
-__all__ = ["drop_written", "fresh_path", "give_back", "lean", "part_of", "partitions", "running", "shared_dir", "splits", "table", "word_count", "written"]
+__all__ = ["bounded_batches", "drop_written", "fresh_path", "give_back", "lean", "part_of", "partitions", "running", "shared_dir", "splits", "sums_before", "table", "word_count", "written"]
 
 #: Token of the word definition that every operator here shares.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
+#: Most bytes of a batch of rows for a Python worker.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Where it is unset (tests, a single machine) a temporary folder is set.
     """
+    bounded_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
@@ -36,8 +40,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of a batch that goes to a Python worker, unless the session does: rows may hold very long texts."""
+    if not spark.sparkContext.getConf().contains(BATCH):
+        spark.conf.set(BATCH, str(16 << 20))
+
+
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one."""
+    return f"{shared_dir(spark)}/leafwork/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/leafwork/{name}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -54,8 +69,8 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 def drop_written(spark: SparkSession) -> None:
-    """Remove all tables that written() has left in the shared folder, once no DataFrame needs them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/leafwork")
+    """Remove all tables that this application's written() has left in the shared folder, once no DataFrame needs them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -89,19 +104,31 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def sums_before(sums: DataFrame, by: list[str], bucket: str, total: str, width: int) -> DataFrame:
+    """(by, bucket, before): the sum of total over the buckets, numbered from 0, that precede in the group.
+
+    Runs of width buckets are summed up first, so a task sees width of them, or as many runs as there are.
+    """
+    sums = sums.select(*by, bucket, F.col(total).alias("__sum"), F.floor(F.col(bucket) / width).alias("__run"))
+    before = lambda x, *keys: F.coalesce(F.sum(x).over(Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = sums.groupBy(*by, "__run").agg(F.sum("__sum").alias("__sum"))
+    runs = runs.select(*by, "__run", before("__sum", *by, "__run").alias("__first"))
+    own = sums.select(*by, bucket, "__run", before("__sum", *by, "__run", bucket).alias("__own"))
+    return own.join(runs, [*by, "__run"]).select(*by, bucket, (F.col("__first") + F.col("__own")).cast("long").alias("before"))
+
+
 def running(df: DataFrame, by: Column, value: Column, *order: str) -> DataFrame:
     """df with before: the sum of value over the rows that precede in the row's group.
 
     Rows are dealt to buckets by the hash of order, which has to tell rows apart, and
     follow each other by bucket and then by order. Each bucket is summed up on its own and the
-    buckets' totals apart, so that no group meets in one task.
+    buckets' totals apart, in two levels, so that no group meets in one task. Groups are not null.
     """
     n = 4 * partitions(df.sparkSession)
     names = df.columns
     df = df.select("*", by.alias("__by"), value.cast("long").alias("__value"), F.pmod(F.xxhash64(*order), F.lit(n)).alias("__bucket"))
     sums = df.groupBy("__by", "__bucket").agg(F.sum("__value").alias("__sum"))
-    upto = F.sum("__sum").over(Window.partitionBy("__by").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0))
-    sums = sums.select("__by", "__bucket", (upto - F.col("__sum")).alias("__first"))
+    sums = sums_before(sums, ["__by"], "__bucket", "__sum", math.isqrt(n) + 1).withColumnRenamed("before", "__first")
     inner = Window.partitionBy("__by", "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("__upto", F.sum("__value").over(inner)).join(sums, ["__by", "__bucket"])
     return df.select(*names, (F.col("__first") + F.col("__upto") - F.col("__value")).alias("before"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import WORD, lean, partitions, word_count, written
+from leafwork.llm.common import WORD, lean, partitions, sums_before, word_count, written
 from leafwork.llm.textnum import mix
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -22,23 +22,21 @@ BLOCK, SHARD, SEED = 64, 4096, 20240501
 BUCKET = 20_000
 #: Sources whose table is broadcast, at most; more are joined by a shuffle.
 BROADCAST = 10_000
-#: Cells of the matrix (groups of shards, sources) that the driver draws, at most.
-CELLS = 4_000_000
 
 
 def targets(sizes: list[int], weights: list[float], repeats: float = REPEATS) -> list[float]:
     """Shares of the sum of sizes by weight; what passes repeats times a size is shared again."""
-    out, free, left = [0.0] * len(sizes), [i for i in range(len(sizes)) if sizes[i] > 0], float(sum(sizes))
-    while free:
-        unit = left / sum(weights[i] for i in free)
-        over = [i for i in free if weights[i] * unit > repeats * sizes[i]]
-        for i in over or free:
-            out[i] = float(repeats * sizes[i]) if over else weights[i] * unit
-        if not over:
+    sizes, weights = np.array(sizes, float), np.array(weights, float)
+    out, free, left = np.zeros(len(sizes)), sizes > 0, float(sizes.sum())
+    while free.any():
+        share = weights * (left / weights[free].sum())
+        over = free & (share > repeats * sizes)
+        out[free] = np.where(over, repeats * sizes, share)[free]
+        if not over.any():
             break
-        left -= sum(out[i] for i in over)
-        free = [i for i in free if i not in set(over)]
-    return out
+        left -= out[over].sum()
+        free &= ~over
+    return out.tolist()
 
 
 def quota(size: int, target: float, block: int) -> int:
@@ -76,6 +74,36 @@ def draw_counts(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarra
     return out
 
 
+def shard_counts(seed: int, quotas: np.ndarray, begin: int, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(shard, sources, slots drawn of each before, slots drawn of each) of the shards from begin to before end.
+
+    Counts are drawn down a tree: those of a range of shards are split into those of its halves, in
+    proportion to the quotas that are left, by a generator that the range seeds. So a shard's counts hang on the
+    quotas and the seed alone, whoever draws them, and all shards' counts sum up to the quotas.
+    """
+    sources = np.flatnonzero(quotas)
+    todo = [(0, max(1, -(-int(quotas.sum()) // SHARD)), sources, np.zeros(len(sources), np.int64), quotas[sources])]
+    while todo:
+        low, high, sources, first, counts = todo.pop()
+        if high <= begin or low >= end:
+            continue
+        if high - low == 1:
+            yield low, sources, first, counts
+            continue
+        middle = (low + high) // 2
+        left = draw_counts(np.random.default_rng((seed, low, high)), counts, SHARD * (middle - low))
+        for a, b, own, before in ((middle, high, counts - left, first + left), (low, middle, left, first)):
+            some = own > 0
+            todo.append((a, b, sources[some], before[some], own[some]))
+
+
+def permutation_key(seed: int, source: int, turn: int) -> int:
+    x = np.array([seed], np.uint64)
+    for v in (source, turn):
+        x = mix(x + np.uint64(v + 1))
+    return int(x[0]) & (1 << 62) - 1
+
+
 @dataclass
 class Mix:
     """docs: row, doc_id, source, number, size, start; sources: by number; slots: what is drawn."""
@@ -91,42 +119,29 @@ class Mix:
     def slots(self) -> DataFrame:
         """(number, block, pass, shard): every draw of a block, by index permutation.
 
-        Groups of shards get their counts on the driver, in a matrix of bounded
-        size; each group's shards draw theirs in a task from the group's seed,
-        in proportion to what is left, so that the totals are the quotas.
+        Each task draws the counts of a range of shards. Two numbers a source are broadcast.
         """
         spark, quotas = self.docs.sparkSession, np.array(self.quotas, np.int64)
-        blocks = [-(-s // self.block) for s in self.sizes]
+        blocks = np.array([-(-s // self.block) for s in self.sizes], np.int64)
         shards = max(1, -(-int(quotas.sum()) // SHARD))
-        groups = max(1, min(shards, 4 * partitions(spark), CELLS // max(1, len(quotas))))
-        rng, left, first = np.random.default_rng(self.seed), quotas.copy(), np.zeros_like(quotas)
-        plan = []
-        for g in range(groups):
-            begin, end = g * shards // groups, (g + 1) * shards // groups
-            counts = draw_counts(rng, left, SHARD * (end - begin)) if g + 1 < groups else left
-            plan.append((begin, end, first.copy(), counts))
-            left, first = left - counts, first + counts
-        shared, seed = spark.sparkContext.broadcast((plan, blocks)), self.seed
+        tasks = min(shards, 4 * partitions(spark))  # makes no difference to what is drawn
+        shared, seed = spark.sparkContext.broadcast((quotas, blocks)), self.seed
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            plan, blocks = shared.value
+            quotas, blocks = shared.value
             for g in (g for b in batches for g in b.column(0).to_pylist()):
-                begin, end, first, left = plan[g]
-                rng = np.random.default_rng((seed, g))
-                for shard in range(begin, end):
-                    counts = draw_counts(rng, left, SHARD) if shard + 1 < end else left
+                for shard, sources, first, counts in shard_counts(seed, quotas, g * shards // tasks, (g + 1) * shards // tasks):
                     columns = []
-                    for s in np.flatnonzero(counts).tolist():
-                        slot = np.arange(first[s], first[s] + counts[s])
-                        turn, at, index = slot // blocks[s], slot % blocks[s], np.empty(len(slot), np.int64)
+                    for s, x, n in zip(sources.tolist(), first.tolist(), counts.tolist(), strict=True):
+                        slot = np.arange(x, x + n)
+                        turn, at, index = slot // blocks[s], slot % blocks[s], np.empty(n, np.int64)
                         for t in np.unique(turn).tolist():
-                            index[turn == t] = permuted(at[turn == t], blocks[s], hash((seed, s, t)) & (1 << 62) - 1)
-                        columns.append(np.stack([np.full(len(slot), s), index, turn, np.full(len(slot), shard)]))
-                    left, first = left - counts, first + counts
+                            index[turn == t] = permuted(at[turn == t], int(blocks[s]), permutation_key(seed, s, t))
+                        columns.append(np.stack([np.full(n, s), index, turn, np.full(n, shard)]))
                     if columns:
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(columns, 1)], names=["number", "block", "pass", "shard"])
 
-        return spark.range(0, groups, 1, groups).mapInArrow(lean(run), "number long, block long, pass long, shard long")
+        return spark.range(0, tasks, 1, tasks).mapInArrow(lean(run), "number long, block long, pass long, shard long")
 
     def pieces(self) -> DataFrame:
         """(number, block, row, first, words): the words of each document in each block."""
@@ -154,8 +169,8 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int
 
     Sources are numbered by code point, null last; one row a source reaches the
     driver. The order of a source's documents is that of a hash; its running
-    sums are made in buckets of the hash, whose totals are summed up apart, so
-    that no source's rows meet in one task.
+    sums are made in ranges of the hash, whose totals are summed up apart, so
+    that no source's rows meet in one task. How many ranges there are makes no difference to the order.
     """
     spark = docs.sparkSession
     stats = docs.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
@@ -163,16 +178,14 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int
     names, sizes = [r["source"] for r in stats], [r["size"] for r in stats]
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], repeats)
     rows = sum(r["rows"] for r in stats)
-    buckets = max(4 * partitions(spark), rows // BUCKET)
+    bits = max(1, max(4 * partitions(spark), rows // BUCKET).bit_length())
     numbers = spark.createDataFrame(list(enumerate(names)), "number long, named string")
     docs = docs.join(_small(numbers, len(names)), F.col("source").eqNullSafe(F.col("named"))).drop("named")
-    docs = docs.withColumn("bucket", F.pmod(F.shiftright("order", 20), F.lit(buckets)))
-    # the order within a bucket, then that of the buckets
+    docs = docs.withColumn("bucket", F.shiftright("order", 63 - bits))
+    # the order within a range of the hash, then that of the ranges
     inner = Window.partitionBy("number", "bucket").orderBy("order", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
     docs = docs.withColumn("upto", F.sum("size").over(inner))
-    sums = docs.groupBy("number", "bucket").agg(F.max("upto").alias("total"))
-    outer = Window.partitionBy("number").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.select("number", "bucket", (F.sum("total").over(outer) - F.col("total")).alias("before"))
+    sums = sums_before(docs.groupBy("number", "bucket").agg(F.max("upto").alias("total")), ["number"], "bucket", "total", 1 << bits // 2)
     docs = docs.join(sums, ["number", "bucket"]).withColumn("start", F.col("before") + F.col("upto") - F.col("size"))
     docs = written(docs.select("row", "doc_id", "source", "number", "size", "start"), "packed")
     quotas = [quota(s, t, block) for s, t in zip(sizes, wanted, strict=True)]
@@ -183,7 +196,7 @@ def measured(docs: DataFrame, text: bool = False) -> DataFrame:
     """Written rows (row, doc_id, source, size, order, and text and lang where asked)."""
     docs = docs.select("doc_id", "source", "text", *(["lang"] if text else []))
     extra = ["text", "lang"] if text else []
-    found = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("order"), *extra)
+    found = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("order"), *extra)
     return written(found, "measured")
 
 
@@ -191,8 +204,8 @@ def mix_counts(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (all in words).
 
     taken counts the words of the document that the mix takes, repeats
-    included. Null text has size 0 and is never taken; a null source is a source of its
-    own, after all others; equal rows stand for themselves, each with a place of its own in the
+    included; they hang on the rows, the options and the seed, not on partitions or the cluster. Null text has
+    size 0 and is never taken; a null source is a source of its own, after all others; equal rows stand for themselves, each with a place of its own in the
     packing. Other columns are not read. An empty table gives none.
     """
     plan = plan_mix(measured(docs), **options)

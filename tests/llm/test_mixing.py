@@ -28,6 +28,22 @@ def test_permutations_and_counts():
     assert total.tolist() == left.tolist()
 
 
+def test_counts_of_shards_hang_on_the_seed_alone(monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD", 7)
+    quotas = np.array([0, 40, 3, 0, 11, 1])
+    whole = {k: (s.tolist(), f.tolist(), c.tolist()) for k, s, f, c in mixing.shard_counts(5, quotas, 0, 100)}
+    assert sorted(whole) == list(range(8)) and all(sum(c) == 7 for k, (_, _, c) in whole.items() if k < 7)
+    for begin, end in ((0, 3), (3, 4), (4, 8)):
+        some = {k: (s.tolist(), f.tolist(), c.tolist()) for k, s, f, c in mixing.shard_counts(5, quotas, begin, end)}
+        assert some == {k: whole[k] for k in range(begin, end)}
+    done = np.zeros(6, int)
+    for k in range(8):
+        sources, first, counts = map(np.array, whole[k])
+        assert (first == done[sources]).all()
+        done[sources] += counts
+    assert done.tolist() == quotas.tolist()
+
+
 def make(spark):
     rng = np.random.default_rng(3)
     rows = []
@@ -46,6 +62,11 @@ def test_documents_of_a_mix(spark):
     assert len(got) == len(rows)
     key = lambda r: (r.doc_id, r.taken)
     assert sorted(map(key, got)) == sorted(map(key, again))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    other = mixing.mix_counts(docs).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(map(key, got)) == sorted(map(key, other))
     sizes = {r[0]: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows}
     source = {r[0]: r[3] for r in rows}
     assert all(r.size == sizes[r.doc_id] and r.taken <= 3 * r.size for r in got)
