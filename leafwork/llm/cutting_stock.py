@@ -27,15 +27,42 @@ def best_pattern(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), counts
 
 
+def fullest(left: np.ndarray, capacity: int) -> np.ndarray:
+    """Counts, none above those left, of the largest size there is and of what fills the rest of capacity most; larger sizes come first."""
+    counts = np.zeros_like(left)
+    top = int(np.flatnonzero(left)[-1]) + 1
+    counts[top - 1] = 1
+    room = capacity - top
+    reached, last = np.zeros(room + 1, bool), np.zeros(room + 1, np.int64)
+    reached[0] = True
+    for s in np.flatnonzero(left[:room])[::-1].tolist():
+        size = s + 1
+        for _ in range(min(int(left[s]) - (size == top), room // size)):
+            new = np.zeros_like(reached)
+            new[size:] = reached[:-size]
+            new &= ~reached
+            if not new.any():
+                break
+            last[new] = size
+            reached |= new
+        if reached[room]:
+            break
+    at = int(np.flatnonzero(reached)[-1])
+    while at:
+        counts[last[at] - 1] += 1
+        at -= last[at]
+    return counts
+
+
 def solve(demand: np.ndarray, capacity: int, rounds: int = 2000) -> list[tuple[int, np.ndarray]]:
-    """(times, counts by size - 1) of patterns that meet no more than the demand.
+    """(times, counts by size - 1) of patterns that meet the demand, and no more.
 
     demand[i] pieces have size i + 1. The linear program "least number of
     sequences" over all patterns is solved by the revised simplex method: the
     dual prices value the sizes, a knapsack finds the pattern of most value,
     and it enters the basis while its value passes 1. The solution is rounded
-    down; what is left of the demand is for the caller. Its cost depends on
-    the number of sizes and not on the number of pieces.
+    down; what that leaves is packed by patterns that fullest makes, each as often as it can be, until
+    all of the demand is met. The cost depends on the number of sizes and not on the number of pieces.
     """
     sizes = np.flatnonzero(demand) + 1
     m = len(sizes)
@@ -74,4 +101,10 @@ def solve(demand: np.ndarray, capacity: int, rounds: int = 2000) -> list[tuple[i
         if n > 0:
             out.append((n, counts))
             left -= n * counts
+    while left.any():
+        counts = fullest(left, capacity)
+        used = counts > 0
+        n = int((left[used] // counts[used]).min())
+        out.append((n, counts))
+        left -= n * counts
     return out
