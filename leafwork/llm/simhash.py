@@ -7,8 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafwork.llm import textnum
 from leafwork.llm.common import lean, written
@@ -207,13 +208,17 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs with one document of each near-duplicate group: that of the smallest doc_id.
 
     Of a group's rows that repeat this doc_id the one whose text has the least hash stays; rows of other
-    groups that repeat it stand for theirs. A document without a doc_id can't stand for a group, nor be
-    told from others, and stays.
+    groups that repeat it stand for theirs. Of rows that repeat both one stays, that of the least hash over all
+    columns that can be hashed. A document without a doc_id can't stand for a group, nor be
+    told from others, and stays. An empty table gives none.
     """
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
     made = written(fingerprints(hashed, "doc_id", "hash"), "fingerprints")
     named = _least(made, F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "hash")), radius)
-    kept = named.where("least is not null").select("least.doc_id", F.col("least.hash").alias("__hash"), F.lit(True).alias("__kept")).distinct()
-    rows = docs.withColumn("__hash", F.xxhash64("text")).join(written(kept, "kept"), ["doc_id", "__hash"], "left").where("__kept or doc_id is null")
-    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__hash").orderBy("__hash"))).where("__n = 1 or doc_id is null")
-    return rows.select(*docs.columns)
+    kept = named.where("least is not null").select(F.col("least.doc_id").alias("__id"), F.col("least.hash").alias("__hash")).distinct()
+    # rows that repeat are combined before they are shuffled
+    names = [f"`{c}`" for c in docs.columns]
+    plain = [n for n, f in zip(names, docs.schema.fields, strict=True) if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    rows = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash"))
+    rows = rows.agg(F.min_by(F.struct(*names), F.xxhash64(*plain)).alias("__row")).join(written(kept, "kept"), ["__id", "__hash"], "left_semi")
+    return rows.select("__row.*").union(docs.where("doc_id is null"))
