@@ -14,9 +14,15 @@ from leafwork.llm.common import lean, written
 from leafwork.llm.graph import components
 
 COSINE = 0.98
-#: Vectors that the centroids are fitted on, at most; vectors a cell, about; vectors a block.
-SAMPLE, CELL, BLOCK = 16_384, 4096, 1024
-CELLS, ROUNDS = 1024, 8
+#: Vectors that the centroids are fitted on for each of them, vectors a block, rounds of fitting.
+SAMPLE, BLOCK, ROUNDS = 16, 1024, 8
+#: Cells are so many times fewer than the root of the number of vectors; at most as many centroids are broadcast, a few MB.
+ROOTS, CELLS = 4, 8192
+
+
+def cells_for(vectors: int, roots: int = ROOTS, most: int = CELLS) -> int:
+    """Cells for so many vectors of a dimension: in proportion to their root, so that cells and their sizes grow alike."""
+    return min(most, math.isqrt(vectors) // roots)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -56,7 +62,7 @@ def cells_of(v: np.ndarray, centroids: np.ndarray, cosine: float) -> tuple[np.nd
     return home, *np.nonzero(near)
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, cell: int = CELL, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, block: int = BLOCK, roots: int = ROOTS) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Vectors of equal, non-null label and equal dimension are linked if their cosine, in
@@ -67,11 +73,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     each other, so copies make no pairs. Rows may repeat a vec_id; a null vec_id is never the smallest.
     Other columns are not read; an empty table gives none.
 
-    Centroids are fitted on at most sample vectors; all are assigned and
-    compared. A cell of many vectors is compared block by block, each pair of
+    Centroids, one cell's for each (see cells_for), are fitted on sample times as many vectors, those of the least
+    hashes; all vectors are assigned and compared. A cell of many vectors is compared block by block, each pair of
     blocks in a group of its own; a group gives the links' counts and a
     spanning forest, not the pairs.
     """
+    kind = vectors.schema["label"].dataType.simpleString()
     raw = vectors.select("vec_id", F.col("embedding").alias("v"), "label")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     good = F.col("label").isNotNull() & F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False))
@@ -80,9 +87,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     distinct = written(distinct.select(F.monotonically_increasing_id().alias("node"), F.size("v").alias("dim"), "*"), "vectors")
     centroids = {}
     for r in distinct.groupBy("dim").count().collect():
-        k = min(CELLS, r["count"] // cell)
+        k = cells_for(r["count"], roots)
         if k > 1:
-            some = distinct.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("h1")).limit(sample).select("v").toArrow()
+            some = distinct.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("h1")).limit(sample * k).select("v").toArrow()
             flat = some.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False)
             centroids[r["dim"]] = spherical_kmeans(unit(flat.reshape(-1, r["dim"])), k)
     shared = distinct.sparkSession.sparkContext.broadcast(centroids)  # at most CELLS centroids a dimension
@@ -105,10 +112,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
                 cells.append(own)
                 home.append(np.ones(len(at), bool))
             rows, cells, home = np.concatenate(rows), np.concatenate(cells), np.concatenate(home)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(cells.astype(np.int64)), pa.array(home)], names=["node", "cell", "home"])
+            own = [b.column(k).take(pa.array(rows)) for k in (0, 1, 3, 4)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(cells.astype(np.int64)), pa.array(home)], names=["node", "dim", "label", "copies", "cell", "home"])
 
-    placed = written(distinct.select("node", "dim", "v").mapInArrow(lean(assign), "node long, cell long, home boolean"), "cells")
-    placed = placed.join(distinct.select("node", "dim", "label", "copies", "v"), "node")
+    placed = distinct.select("node", "dim", "v", "label", "copies").mapInArrow(lean(assign), f"node long, dim int, label {kind}, copies long, cell long, home boolean")
     placed = written(placed, "placed")
     sizes = placed.groupBy("label", "dim", "cell").agg(F.count_if("home").alias("own"), F.count_if(~F.col("home")).alias("visits"))
     sizes = written(sizes.withColumn("blocks", F.ceil(F.col("own") / block)).withColumn("others", F.ceil(F.col("visits") / block)).where("blocks > 0"), "sizes")
@@ -127,7 +134,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     as_visit = F.transform(blocks, lambda x: part(x, -1 - F.col("number"), 1))
     tasks = F.when(F.col("home"), F.concat(as_left, as_right, with_visits)).otherwise(as_visit)
     keys = ["label", "dim", "cell", "i", "j"]
-    grouped = grouped.select("label", "dim", "cell", "node", "copies", "v", F.inline(tasks)).repartition(*keys).sortWithinPartitions(*keys)
+    # vectors join what they are compared in once that is known
+    grouped = grouped.select("label", "dim", "cell", "node", "copies", F.inline(tasks)).join(distinct.select("node", "v"), "node").repartition(*keys).sortWithinPartitions(*keys)
     found = grouped.select(F.xxhash64(*keys).alias("h"), *keys[3:], "role", "node", "copies", "v").mapInArrow(lean(lambda b: _compare(b, cosine)), "a long, b long, n long")
     found = written(found, "found")
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))

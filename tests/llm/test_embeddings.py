@@ -7,7 +7,7 @@ from leafwork.llm import embeddings
 KIND = "vec_id long, embedding array<float>, label int, node string"
 
 
-@pytest.mark.parametrize("options", [{}, {"cell": 40, "block": 16, "sample": 300}])
+@pytest.mark.parametrize("options", [{}, {"roots": 1, "block": 16, "sample": 10}])
 def test_links_against_brute_force(spark, options):
     rng = np.random.default_rng(0)
     base, rows = rng.normal(size=(40, 16)), []
@@ -42,6 +42,10 @@ def test_links_against_brute_force(spark, options):
     assert sorted(map(tuple, some)) == sorted(con.execute(f"SELECT vec_id, n_links, component_id, kept FROM ({embeddings.near_duplicates_sql()})").fetchall())
 
 
+def test_cells_grow_with_the_root():
+    assert [embeddings.cells_for(n) for n in (0, 1, 63, 64, 500, 2000, 10**6, 10**12)] == [0, 0, 1, 2, 5, 11, 250, embeddings.CELLS]
+
+
 def test_visits_miss_no_pair():
     rng = np.random.default_rng(1)
     v = embeddings.unit(rng.normal(size=(400, 5)))
