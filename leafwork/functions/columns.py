@@ -112,6 +112,61 @@ def _values(schema: str | None):
     return _udf(run, "string")
 
 
+@lru_cache(1024)
+def _declared_once(schema: str | None) -> Declared | None:
+    return as_declared(schema)
+
+
+def _udf_by_row(one: Callable[[str, Declared], dict], kind: pa.DataType, returns: str):
+    """A function of (text, declaration), both columns; declarations that repeat are read once a process."""
+
+    def kernel(texts: pa.Array, schemas: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else one(x, _declared_once(d)) for x, d in zip(texts.to_pylist(), schemas.to_pylist(), strict=True)], kind)
+
+    kernel.__annotations__ = {"texts": pa.Array, "schemas": pa.Array, "return": pa.Array}
+    return F.arrow_udf(kernel, returnType=returns)
+
+
+def _read_by(text: str, declared: Declared | None) -> dict:
+    found = decoding.read_strictly(text, declared)
+    out = {"ok": found.error is None, "error": found.error, "canonical": found.canonical, "repairs": _notes(found.repairs)}
+    return out | ({"value": dumps(found.value)} if found.error is None else {})
+
+
+def _check_by(text: str, declared: Declared | None) -> dict:
+    errors = decoding.validate_text(text, declared)
+    return {"ok": not errors, "errors": errors}
+
+
+def _lenient_by(text: str, declared: Declared | None) -> dict:
+    found = decoding.decode_lenient_text(text, declared)
+    return {"value": dumps(found.value), "errors": found.errors, "repairs": _notes(found.repairs), "truncated": found.truncated}
+
+
+def decode_by(text: Column | str, schema: Column | str) -> Column:
+    """decode, each row by the declaration in a column of its own (null: none)."""
+    return _udf_by_row(_read_by, _decoded, DECODED)(text, schema)
+
+
+@lru_cache(1)
+def _round_trip():
+    def one(text: str) -> dict:
+        try:
+            made = encoding.encode_value(loads(text))
+        except (Unreadable, ValueError, RecursionError):
+            return {"same": False, "ok": False, "fixed": False}
+        found = decoding.read_strictly(made, None)
+        fixed = found.error is None and decoding.read_strictly(found.canonical, None).canonical == found.canonical
+        return {"text": made, "ok": found.error is None, "same": found.canonical == made and not found.repairs, "fixed": fixed}
+
+    return _udf(_over(one, pa.struct([("text", pa.string()), ("ok", pa.bool_()), ("same", pa.bool_()), ("fixed", pa.bool_())])), "text string, ok boolean, same boolean, fixed boolean")
+
+
+def round_trip(json_text: Column | str) -> Column:
+    """Struct (text, ok, same, fixed) of JSON text, in one pass: its text, whether that is read, gives the same text without a repair, and is a fixed point."""
+    return _round_trip()(json_text)
+
+
 @lru_cache(64)
 def _lenient_udf(schema: str | None):
     declared = as_declared(schema)
@@ -134,6 +189,15 @@ def _validate(schema: str | None):
     return _udf(_over(one, _checked), CHECKED)
 
 
+@lru_cache(1)
+def _fixed():
+    def one(text: str) -> dict:
+        found = _read_by(text, None)
+        return {k: found[k] for k in ("ok", "canonical", "error", "repairs")}
+
+    return _udf(_over(one, pa.struct([_decoded.field(k) for k in ("ok", "canonical", "error", "repairs")])), f"ok boolean, canonical string, error string, repairs {REPAIRS}")
+
+
 @lru_cache(1)
 def _numbers():
     def run(values: pa.Array) -> pa.Array:
@@ -155,8 +219,8 @@ def encode(json_text: Column | str, profile: str = "canonical", markers: bool =
     return _encode(profile, markers)(json_text)
 
 
-def encode_column(c: Column, kind: T.DataType, profile: str = "canonical", markers: bool = False, doubles: str = "any", braces: str = "exact") -> Column:
-    """Text of a struct column: by expressions alone if its type allows for it, else through the Arrow function.
+def encode_column(c: Column, kind: T.DataType, profile: str = "canonical", markers: bool = False) -> Column:
+    """Text of a struct column: by expressions if its type allows for it, else through the Arrow function.
 
     A map whose keys aren't strings is refused.
     """
@@ -164,7 +228,7 @@ def encode_column(c: Column, kind: T.DataType, profile: str = "canonical", marke
 
     _check_keys(kind)
     try:
-        return native.encode_struct(c, kind, profile, markers, doubles, braces)
+        return native.encode_struct(c, kind, profile, markers)
     except native.NotStatic:
         return encode(F.to_json(c, {"ignoreNullFields": "false"}), profile, markers)["text"]
 
@@ -229,15 +293,26 @@ def inline_like(x: Column | str) -> Column:
 
 
 def register(spark: SparkSession, prefix: str = "leaf_") -> list[str]:
-    """Name the functions for SQL: leaf_encode, leaf_encode_generation, leaf_decode, leaf_decode_lenient, leaf_validate."""
+    """Name the functions for SQL: leaf_encode, leaf_encode_generation, leaf_decode, leaf_decode_lenient, leaf_validate, leaf_fix, leaf_number.
+
+    leaf_decode_by, leaf_decode_lenient_by and leaf_validate_by take a declaration as second argument, and leaf_leaves is
+    a table function: the leaves of a JSON text as rows.
+    """
     found = {
         "encode": _encode("canonical", False),
         "encode_generation": _encode("generation", False),
         "decode": _decode(None),
         "decode_lenient": _lenient_udf(None),
         "validate": _validate(None),
+        "fix": _fixed(),
         "number": _numbers(),
+        "decode_by": _udf_by_row(_read_by, _decoded, DECODED),
+        "decode_lenient_by": _udf_by_row(_lenient_by, _lenient, LENIENT),
+        "validate_by": _udf_by_row(_check_by, _checked, CHECKED),
     }
     for name, f in found.items():
         spark.udf.register(prefix + name, f)
-    return [prefix + name for name in found]
+    from leafwork.operators.leaves import leaves_table
+
+    spark.udtf.register(prefix + "leaves", leaves_table())
+    return [prefix + name for name in [*found, "leaves"]]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafwork.functions import columns
-from leafwork.functions.wire import CLOSE, FNV_AGAIN, FNV_PRIME, FNV_START, FRAME_CLOSE, FRAME_OPEN, NUMBER, OPEN, SPACE, Unreadable, inline_key_text, key_text, split_cells
+from leafwork.functions.wire import CLOSE, FRAME_CLOSE, FRAME_OPEN, NUMBER, OPEN, SPACE, Unreadable, inline_key_text, key_text, split_cells
 
 LINE, TABLE, LITERAL, BLOCK = range(4)
 SCALARS = (T.StringType, T.BooleanType, T.IntegralType, T.FractionalType, T.DecimalType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType, T.NullType)
@@ -22,7 +22,13 @@ PLAIN = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 class NotStatic(ValueError):
-    """The type needs the Arrow function inside an array, where Spark can't call it."""
+    """The type has no static form."""
+
+
+#: A line that would close a block, in a string of several lines; such a block takes a nonce.
+CLOSER_LINE = r"(?:^|\n)>>>\r?\n|\n>>>\r?\z"
+#: Longs beyond this are rounded, as all numbers are doubles.
+EXACT = 1 << 53
 
 
 def _let(value: Column, f) -> Column:
@@ -47,21 +53,10 @@ def _wrap(s: Column) -> Column:
 
 
 class Compiler:
-    """doubles: 'short' for numbers of at most 6 decimals below 1e9 (others are an error), 'any' through
-    the Arrow function. braces: 'exact' asks the Arrow function whether a string {...}
-    would be read as an object, 'protect' takes all that hold = for such.
-    """
+    """Expressions for all values that aren't odd (see _odd): numbers of few digits, and no string that might read as an inline object or needs a nonce.
 
-    def __init__(self, doubles: str = "any", braces: str = "exact") -> None:
-        self.doubles, self.braces, self.in_array = doubles, braces, False
-
-    def inside(self, f) -> Column:
-        """f(), for what stands in an array."""
-        before, self.in_array = self.in_array, True
-        try:
-            return f()
-        finally:
-            self.in_array = before
+    No function of an element holds another one that reads it: Spark can't hand such expressions to Python functions.
+    """
 
     # scalars
 
@@ -70,15 +65,7 @@ class Compiler:
             return c.cast("string")
         if isinstance(t, T.DecimalType):
             return _plain_decimal(c.cast("string"))
-        d = c.cast("double")
-        bad = F.isnan(d) | (F.abs(d) == float("inf"))
-        if self.doubles == "any":
-            if self.in_array:
-                raise NotStatic("doubles in arrays need doubles='short' or the Arrow function")
-            return F.when(bad, F.raise_error(F.lit("non-finite number"))).otherwise(columns.double_text(d))
-        short = F.abs(d) < 1e9
-        exact = F.when(short, d).otherwise(F.lit(0.0)).cast("decimal(17,6)")
-        return F.when(short & (exact.cast("double") == d), _plain_decimal(exact.cast("string"))).otherwise(F.raise_error(F.lit("number needs doubles='any'")))
+        return _plain_decimal(_short(_as_double(c, t)).cast("string"))
 
     def as_string(self, c: Column, t: T.DataType) -> Column | None:
         """The string that a value of the type is written as; None for types with literals of their own."""
@@ -97,23 +84,13 @@ class Compiler:
             return F.lit("null")
         return F.coalesce(c.cast("string") if isinstance(t, T.BooleanType) else self.number(c, t), F.lit("null"))
 
-    def brace_like(self, s: Column) -> Column:
-        shaped = s.startswith("{") & s.endswith("}") & s.contains("=")
-        if self.braces == "protect":
-            return shaped
-        if self.in_array:
-            raise NotStatic("strings in arrays need braces='protect' or the Arrow function")
-        return shaped & F.coalesce(columns.inline_like(F.when(shaped, s)), F.lit(False))
-
     def string_leaf(self, path: Column, s: Column) -> Column:
         edge, tail = _edge_space(s), _opener_tail(s)
-        odd = (s == "") | edge | s.startswith(OPEN) | s.isin("[]", "{}") | s.contains(CLOSE) | tail | _literal_like(s) | self.brace_like(s)
+        odd = (s == "") | edge | s.startswith(OPEN) | s.isin("[]", "{}") | s.contains(CLOSE) | tail | _literal_like(s)
         untaggable = edge | tail | (s.startswith(OPEN) & s.endswith(CLOSE))
         block = F.concat(path, F.lit("=" + OPEN + "\n"), s, F.lit("\n" + CLOSE))
-        marked = _let(_nonce(s), lambda nonce: F.concat(path, F.lit("=" + OPEN), nonce, F.lit("\n"), s, F.lit("\n" + CLOSE), nonce))
         return (
             F.when(s.isNull(), F.concat(path, F.lit("=null")))
-            .when(s.rlike(r"(?:^|\n)>>>\r?\n|\n>>>\r?\z"), marked)
             .when(s.contains("\n"), block)
             .when(~odd, F.concat(path, F.lit("="), s))
             .when(untaggable, F.concat(path, F.lit("="), _wrap(s)))
@@ -128,7 +105,7 @@ class Compiler:
             return F.concat(path, F.lit("="), F.coalesce(s, F.lit("null")))
         if isinstance(t, T.StringType):
             return self.string_leaf(path, s)
-        return _let(s, lambda x: Compiler(self.doubles, "protect").string_leaf(path, x))  # base64 holds no braces
+        return self.string_leaf(path, s)
 
     # cells
 
@@ -140,7 +117,7 @@ class Compiler:
             return F.coalesce(s, F.lit("null"))
         odd = (s == "") | _edge_space(s) | (s == "[]") | _literal_like(s)
         if where == "literal":
-            odd = odd | s.isin("[", "]", "{}") | s.startswith(OPEN) | self.brace_like(s)
+            odd = odd | s.isin("[", "]", "{}") | s.startswith(OPEN)
         else:
             odd = odd | s.contains(",") | s.contains("{") | s.contains(OPEN)
             odd = odd | (s.contains("}") if where == "inline" else _opener_tail(s))
@@ -178,7 +155,7 @@ class Compiler:
                 out = _let(F.struct(inline.alias("inline"), out.alias("lines")), less)
             return F.when(c.isNull(), F.concat(path, F.lit("=null"))).otherwise(out)
         if isinstance(t, T.ArrayType):
-            forms = self.inside(lambda: [self.by_path(path, c, t), self.table(path, c, t), self.inline_rows(path, c, t), self.literal_rows(path, c, t)])
+            forms = [self.by_path(path, c, t), self.table(path, c, t), self.inline_rows(path, c, t), self.literal_rows(path, c, t)]
             ranked = [F.struct(F.lit(k).alias("rank"), f.alias("text")) for k, f in enumerate(forms) if f is not None]
             there = F.filter(F.array(*ranked), lambda f: f["text"].isNotNull())
             best = F.array_min(F.transform(there, lambda f: F.struct(F.octet_length(f["text"]).alias("size"), f["rank"].alias("rank"), f["text"].alias("text"))))["text"]
@@ -224,8 +201,8 @@ class Compiler:
             out = F.flatten(F.array(*[self.units(_member(path, f.name, root), c[f.name], f.dataType) for f in _sorted(t)]))
             return out if root else F.when(c.isNull(), F.array(_unit(LINE, F.concat(path, F.lit("=null"))))).otherwise(out)
         if isinstance(t, T.ArrayType):
-            forms = self.inside(lambda: [(TABLE, self.table(path, c, t)), (LITERAL, self.literal_rows(path, c, t))])
-            out = self.inside(lambda: F.flatten(F.transform(c, lambda x, i: self.units(_at(path, i), x, t.elementType))))
+            forms = [(TABLE, self.table(path, c, t)), (LITERAL, self.literal_rows(path, c, t))]
+            out = F.flatten(F.transform(c, lambda x, i: self.units(_at(path, i), x, t.elementType)))
             for rank, form in reversed([f for f in forms if f[1] is not None]):
                 out = F.when(form.isNotNull(), F.array(_unit(rank, form))).otherwise(out)
             return F.when(c.isNull(), F.array(_unit(LINE, F.concat(path, F.lit("=null"))))).when(F.size(c) == 0, F.array(_unit(LINE, F.concat(path, F.lit("=[]"))))).otherwise(out)
@@ -236,6 +213,63 @@ def _unit(rank: Column | int, text: Column) -> Column:
     return F.struct((F.lit(rank) if isinstance(rank, int) else rank).cast("int").alias("rank"), text.alias("text"))
 
 
+def _as_double(c: Column, t: T.DataType) -> Column:
+    """A float stands for the double of its digits."""
+    return c.cast("string").cast("double") if isinstance(t, T.FloatType) else c.cast("double")
+
+
+def _short(d: Column) -> Column:
+    """A double below 1e9 as a decimal of 6 places."""
+    return F.when(F.abs(d) >= 1e9, F.lit(0.0)).otherwise(d).cast("decimal(17,6)")
+
+
+def _finite(d: Column) -> Column:
+    return ~(F.isnan(d) | (F.abs(d) == float("inf")))
+
+
+def _any(tests: list[Column | None]) -> Column | None:
+    out = None
+    for t in tests:
+        out = t if out is None else out if t is None else out | t
+    return out
+
+
+def _odd(c: Column, t: T.DataType) -> Column | None:
+    """Whether a value isn't for expressions: long numbers, strings in braces and those that need a nonce; None if no value of the type is."""
+    if isinstance(t, T.StringType):
+        braces = c.startswith("{") & c.endswith("}") & c.contains("=")
+        return F.coalesce(braces | (c.contains(CLOSE) & c.rlike(CLOSER_LINE)), F.lit(False))
+    if isinstance(t, T.LongType):
+        return F.coalesce((c > EXACT) | (c < -EXACT), F.lit(False))
+    if isinstance(t, T.DecimalType):
+        if t.precision <= 15 and t.scale <= 6:
+            return None
+        few = F.when(F.abs(c) < 1_000_000_000, c).otherwise(F.lit(0)).cast("decimal(15,6)")
+        return F.coalesce((F.abs(c) >= 1_000_000_000) | (few != c), F.lit(False))
+    if isinstance(t, T.FractionalType):
+        d = _as_double(c, t)
+        return F.coalesce(~_finite(d) | (F.abs(d) >= 1e9) | (_short(d).cast("double") != d), F.lit(False))
+    if isinstance(t, T.StructType):
+        return _any([_odd(c[f.name], f.dataType) for f in t.fields])
+    if isinstance(t, T.ArrayType):
+        inner = _odd(F.lit(None).cast(t.elementType), t.elementType)
+        return None if inner is None else F.coalesce(F.exists(c, lambda x: _odd(x, t.elementType)), F.lit(False))
+    return None
+
+
+def _as_json(c: Column, t: T.DataType) -> Column:
+    """The value with what has no JSON form of its own as the strings it is written as; a number that isn't finite is an error."""
+    if isinstance(t, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_as_json(c[f.name], f.dataType).alias(f.name) for f in t.fields])) if t.fields else c
+    if isinstance(t, T.ArrayType):
+        return F.transform(c, lambda x: _as_json(x, t.elementType))
+    if isinstance(t, (T.FloatType, T.DoubleType)):
+        d = _as_double(c, t)
+        return F.when(c.isNull() | _finite(d), d).otherwise(F.raise_error(F.lit("non-finite number")).cast("double"))
+    s = Compiler().as_string(c, t)
+    return c if s is None else s
+
+
 def _plain_decimal(s: Column) -> Column:
     trimmed = F.regexp_replace(F.regexp_replace(s, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
     return F.when(trimmed == "-0", F.lit("0")).otherwise(trimmed)
@@ -263,28 +297,18 @@ def _at(path: Column, i: Column) -> Column:
     return F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
 
 
-def _nonce(s: Column) -> Column:
-    """Four hexadecimal digits of a hash over UTF-16 units, hashed again while >>>digits stands in s."""
-    wide = F.encode(s, "UTF-16BE")
-    mask = F.lit(0xFFFFFFFF).cast("long")
-    unit = lambda i: F.conv(F.hex(F.substring(wide, 2 * i - 1, F.lit(2))), 16, 10).cast("long")
-    places = F.sequence(F.lit(1), (F.octet_length(wide) / 2).cast("int"))
-    start = F.aggregate(places, F.lit(FNV_START).cast("long"), lambda h, i: (h.bitwiseXOR(unit(i)) * FNV_PRIME).bitwiseAND(mask))
-    digits = lambda h: F.lower(F.lpad(F.hex(h.bitwiseAND(F.lit(0xFFFF).cast("long"))), 4, "0"))
-    again = lambda h, _: F.when(s.contains(F.concat(F.lit(CLOSE), digits(h))), (h.bitwiseXOR(F.lit(FNV_AGAIN).cast("long")) * FNV_PRIME).bitwiseAND(mask)).otherwise(h)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, again, digits)
-
-
-def encode_struct(c: Column, t: T.StructType, profile: str = "canonical", markers: bool = False, doubles: str = "any", braces: str = "exact") -> Column:
+def encode_struct(c: Column, t: T.StructType, profile: str = "canonical", markers: bool = False) -> Column:
     """Text of a struct column of static type; null stays null.
 
     A field that is null is written as null. Dates, timestamps and binary become strings,
     maps are not of static type (see columns.encode). A name that can't be written is an
-    error at once.
+    error at once, a number that isn't finite one on use. Rows are written by expressions; one that holds
+    a number of more than 6 places, from 1e9 (or a long beyond 2^53), a string in braces that might read as an
+    object, or one that needs a nonce, goes through the Arrow function as a whole, and others send it a null. So the text is the same either way.
     """
     if profile not in ("canonical", "generation"):
         raise Unreadable(f"no such profile: {profile}")
-    compiler = Compiler(doubles, braces)
+    compiler = Compiler()
     if profile == "canonical":
         body = F.coalesce(compiler.canonical(F.lit(""), c, t, root=True), F.lit(""))
     else:
@@ -292,4 +316,8 @@ def encode_struct(c: Column, t: T.StructType, profile: str = "canonical", marker
         body = F.array_join(F.transform(F.array_sort(units), lambda u: u["text"]), "\n")
     if markers:
         body = F.when(body == "", F.lit(f"{FRAME_OPEN}\n{FRAME_CLOSE}")).otherwise(F.concat(F.lit(FRAME_OPEN + "\n"), body, F.lit("\n" + FRAME_CLOSE)))
+    odd = _odd(c, t)
+    if odd is not None:
+        json = F.when(odd, F.to_json(_as_json(c, t), {"ignoreNullFields": "false"}))
+        body = F.when(odd, columns.encode(json, profile, markers)["text"]).otherwise(body)
     return F.when(c.isNotNull(), body)

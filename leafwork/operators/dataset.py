@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +13,7 @@ from pyspark.sql import functions as F
 from leafwork.functions import columns
 from leafwork.functions.declarations import declaration_text
 from leafwork.functions.inference import Declared
+from leafwork.functions.wire import Unreadable, key_text
 from leafwork.operators.leaves import json_leaves, steps_text, walk
 from leafwork.operators.ranges import rank_in_group
 
@@ -19,32 +24,52 @@ def with_canonical_key(df: DataFrame, json: str, name: str = "canonical") -> Dat
 
 
 def deduplicated(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row by order of each key; rows without a key are dropped.
+    """The first row by order of each key; rows without a key are dropped. Of rows that share both one stays.
 
-    The minimum is taken by aggregation, so that a key of many rows is combined before it is shuffled.
+    One aggregation picks whole rows, so that a key of many rows is combined before it is shuffled.
     """
-    first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias(order))
-    return df.join(first, [key, order], "left_semi").dropDuplicates([key])
+    first = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min_by(F.struct(*[f"`{c}`" for c in df.columns]), order).alias("__row"))
+    return first.select("__row.*")
+
+
+def _leaf_count(json: Column) -> Column:
+    """Leaves of an object, empty containers counted; 0 for what is no JSON."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            try:
+                out.append(0 if t is None else sum(1 for _ in walk(columns.loads(t))))
+            except (Unreadable, ValueError):
+                out.append(0)
+        return pa.array(out, pa.int64())
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, returnType="bigint")(json)
 
 
 def selected(df: DataFrame, json: str, order: str, least_leaves: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(rows kept, one row of counters): empty objects, small ones and copies are dropped, and counted apart."""
-    keyed = with_canonical_key(df, json)
-    sizes = json_leaves(keyed, json, order).groupBy(order).agg(F.count("*").alias("leaves"))
-    rows = keyed.join(sizes, order, "left").fillna(0, ["leaves"])
+    """(rows kept, one row of counters): empty objects, small ones and copies are dropped, and counted apart.
+
+    Leaves are counted row by row, so rows may repeat an order.
+    """
+    rows = with_canonical_key(df, json).withColumn("leaves", _leaf_count(F.col(json)))
     empty = F.coalesce(F.col("canonical") == "", F.lit(True))
     small = ~empty & (F.col("leaves") < least_leaves)
     good = ~empty & ~small
     kept = deduplicated(rows.where(good), "canonical", order)
-    counted = rows.agg(F.count("*").alias("rows"), F.count_if(empty).alias("empty"), F.count_if(small).alias("small"), F.countDistinct(F.when(good, F.col("canonical"))).alias("kept"))
+    # counted by canonical text first, so that no group of all distinct texts is made
+    each = rows.select(empty.alias("empty"), small.alias("small"), F.when(good, F.xxhash64("canonical")).alias("h1"), F.when(good, F.xxhash64(F.lit(1), "canonical")).alias("h2"))
+    each = each.groupBy("empty", "small", "h1", "h2").agg(F.count("*").alias("n"))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    counted = each.agg(total(F.col("n")).alias("rows"), total(F.when(F.col("empty"), F.col("n"))).alias("empty"), total(F.when(F.col("small"), F.col("n"))).alias("small"), F.count_if(F.col("h1").isNotNull()).alias("kept"))
     return kept, counted.withColumn("copies", F.col("rows") - F.col("empty") - F.col("small") - F.col("kept"))
 
 
-def round_tripping(df: DataFrame, json: str) -> DataFrame:
-    """Rows whose object is read back from its text as it was, without a repair."""
-    text = columns.encode(F.col(json))["text"]
-    back = columns.decode(text)
-    return df.where(F.coalesce(back["ok"] & (back["canonical"] == text) & (F.size(back["repairs"]) == 0), F.lit(False)))
+def round_tripping(df: DataFrame, json: str, *order: str, limit: int | None = None) -> DataFrame:
+    """Rows whose object is read back from its text as it was, without a repair; with limit, the first so many by order."""
+    found = df.where(columns.round_trip(F.col(json))["same"])
+    return found if limit is None else found.orderBy(*order).limit(limit)
 
 
 def hash_order(*keys: str, seed: int = 0) -> Column:
@@ -68,6 +93,25 @@ def picked(options: list[str], *keys: str, seed: int = 0) -> Column:
     return F.get(values, F.pmod(hash_order(*keys, seed=seed), F.lit(len(options))).cast("int"))
 
 
+def whole_number(low: int, high: int, *keys: str, seed: int = 0) -> Column:
+    """A whole number from low to high by the hash of keys."""
+    return (F.pmod(hash_order(*keys, seed=seed), F.lit(high - low + 1)) + low).cast("long")
+
+
+def picked_many(options: list[str], n: int, *keys: str, seed: int = 0) -> Column:
+    """n different ones of a few options by the hash of keys, in an order of its own."""
+    ranked = F.array(*[F.struct(F.xxhash64(F.lit(seed), F.lit(i), *keys).alias("h"), F.lit(x).alias("x")) for i, x in enumerate(options)])
+    return F.transform(F.slice(F.array_sort(ranked), 1, n), lambda r: r["x"])
+
+
+def union_of_splits(*splits: DataFrame) -> DataFrame:
+    """Rows of all splits, columns by name; one that a split lacks is null there."""
+    out = splits[0]
+    for s in splits[1:]:
+        out = out.unionByName(s, allowMissingColumns=True)
+    return out
+
+
 def stratified_split(df: DataFrame, stratum: str, order: str, share: float, isolated: list[str] = ()) -> DataFrame:
     """df with split: of n rows of a stratum ceil(share n) evenly spaced ones are eval, the rest train.
 
@@ -143,31 +187,158 @@ def shape_stats(df: DataFrame, *groups: str) -> DataFrame:
     return df.groupBy(*groups).agg(F.count("*").alias("rows"))
 
 
-CODES = {"string": "s", "number": "n", "boolean": "b", "null": "s", "empty_object": "o", "empty_array": "s"}
+SCALAR_CODES = {"string": "s", "text": "t", "number": "n", "boolean": "b"}
+FIELD = "path string, code string, optional boolean"
+
+
+def _tag(v: object) -> str:
+    if v is None:
+        return "null"
+    if isinstance(v, bool):
+        return "boolean"
+    if isinstance(v, str):
+        return "text" if "\n" in v else "string"
+    if isinstance(v, (dict, list)):
+        return "object" if isinstance(v, dict) else "array" if v else "empty"
+    return "number"
+
+
+def _profile(value: object, counts: Counter) -> None:
+    """Count the values of each tag at each path, whose elements all read as []."""
+    todo = [("", value)]
+    while todo:
+        path, v = todo.pop()
+        counts[path, _tag(v)] += 1
+        if isinstance(v, dict):
+            todo += [(f"{path}.{key_text(k)}" if path else key_text(k), x) for k, x in v.items()]
+        elif isinstance(v, list):
+            todo += [(f"{path}[]", x) for x in v]
+
+
+class _Seen:
+    """A place of the profile: how often each tag stands there, and what is below."""
+
+    def __init__(self) -> None:
+        self.tags: Counter = Counter()
+        self.members: dict[str, _Seen] = {}
+        self.element: _Seen | None = None
+
+    @property
+    def kinds(self) -> set[str]:
+        return set(self.tags) - {"null"}
+
+    @property
+    def total(self) -> int:
+        return sum(self.tags.values())
+
+    @property
+    def torn(self) -> bool:
+        """Strings beside values of other types: only the texts' own tags tell them apart, and those hold below open places."""
+        return bool(self.kinds & {"string", "text"}) and bool(self.kinds - {"string", "text"})
+
+    def code(self) -> str:
+        codes = {SCALAR_CODES.get(k, "o") for k in self.kinds}
+        return "s" if not codes else codes.pop() if len(codes) == 1 else "t" if codes == {"s", "t"} else "o"
+
+    def fields(self, path: str, parents: int) -> list[tuple[str, str, bool]]:
+        """What is declared for a member of parents objects."""
+        optional = self.total < parents or bool(self.tags["null"])
+        if optional or not self.kinds <= {"object"} and not self.kinds <= {"array", "empty"}:
+            return [(path, self.code(), optional)]
+        if self.kinds <= {"object"}:
+            return self.inside(path) or [(path, "o", False)]
+        e = self.element
+        if e is None:
+            return [(f"{path}[]", "s", True)]
+        if e.tags["null"] or e.torn or e.kinds & {"array", "empty"}:
+            return [(path, "o", False)]
+        return [(f"{path}[]", e.code(), False), *(e.inside(f"{path}[]") if e.kinds == {"object"} else [])]
+
+    def inside(self, path: str) -> list[tuple[str, str, bool]]:
+        """What is declared for the members of this place's objects; nothing if the place has to stay open."""
+        if path and any(m.torn for m in self.members.values()):
+            return []
+        return [f for k in sorted(self.members) for f in self.members[k].fields(f"{path}.{k}" if path else k, self.tags["object"])]
+
+
+def declared_fields(profile: list[tuple[str, str, int]]) -> list[tuple[str, str, bool]]:
+    """(path, code, optional) of a declaration for values of a profile (path, tag, n).
+
+    A field is optional if it is missing from some object it could stand in, or is null somewhere; an optional
+    container is open, and so is a place of values of several types. Where strings stand beside
+    other types the object or array around is open, so that the texts' own tags hold; a field of
+    the document itself has nothing around it, and strings there that read as something else don't stay strings.
+    """
+    root = _Seen()
+    for path, tag, n in profile:
+        place = root
+        for step in re.findall(r"\[\]|(?:<<<.*?>>>|[^.\[\]]+)", path, re.S):
+            if step == "[]":
+                place.element = place.element or _Seen()
+                place = place.element
+            else:
+                place = place.members.setdefault(step, _Seen())
+        place.tags[tag] += n
+    return root.inside("")
+
+
+def _profiles(df: DataFrame, json: str, groups: list[str]) -> DataFrame:
+    """(groups, path, tag, n): each batch is counted before it is shuffled."""
+    kinds = "".join(f"`{g}` {df.schema[g].dataType.simpleString()}, " for g in groups)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            by: dict[tuple, Counter] = {}
+            for i, text in enumerate(b.column(len(groups)).to_pylist()):
+                try:
+                    value = None if text is None else columns.loads(text)
+                except (Unreadable, ValueError):
+                    continue
+                if isinstance(value, dict):
+                    own = tuple(b.column(k)[i].as_py() for k in range(len(groups)))
+                    counts = by.get(own)
+                    if counts is None:
+                        counts = by[own] = Counter()
+                    _profile(value, counts)
+            rows = [(*own, *key, n) for own, counts in by.items() for key, n in counts.items()]
+            types = [*(b.schema.field(k).type for k in range(len(groups))), pa.string(), pa.string(), pa.int64()]
+            names = [*groups, "path", "tag", "n"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+
+    found = df.select(*groups, json).mapInArrow(run, f"{kinds}path string, tag string, n long")
+    return found.groupBy(*groups, "path", "tag").agg(F.sum("n").alias("n"))
+
+
+def inferred_fields(df: DataFrame, json: str, *groups: str) -> DataFrame:
+    """(groups, fields array of (path, code, optional)): a declaration that all objects of a group are read back by.
+
+    See declared_fields. What is no JSON object is passed over; an empty table gives no row. A group's
+    distinct paths and types meet in one row, not its documents.
+    """
+    profile = _profiles(df, json, list(groups)).groupBy(*groups).agg(F.collect_list(F.struct("path", "tag", "n")).alias("profile"))
+    kind = pa.list_(pa.struct([("path", pa.string()), ("code", pa.string()), ("optional", pa.bool_())]))
+
+    def run(profiles: pa.Array) -> pa.Array:
+        out = []
+        for rows in profiles.to_pylist():
+            found = declared_fields([(r["path"], r["tag"], r["n"]) for r in rows])
+            out.append([dict(zip(("path", "code", "optional"), f, strict=True)) for f in found])
+        return pa.array(out, kind)
+
+    run.__annotations__ = {"profiles": pa.Array, "return": pa.Array}
+    return profile.select(*groups, F.arrow_udf(run, returnType=f"array<struct<{FIELD.replace(' string', ':string').replace(' boolean', ':boolean')}>>")("profile").alias("fields"))
 
 
-def inferred_fields(df: DataFrame, json: str, key: str) -> DataFrame:
-    """(path, code, optional) of the fields that the objects have, over all rows.
+def declarations(df: DataFrame, json: str, *groups: str) -> DataFrame:
+    """(groups, declaration): inferred_fields as the text that decode takes."""
+    line = lambda f: F.concat(f["path"], F.lit(":"), f["code"], F.when(f["optional"], F.lit("?")).otherwise(F.lit("")))
+    return inferred_fields(df, json, *groups).select(*groups, F.array_join(F.transform("fields", line), "\n").alias("declaration"))
 
-    A field of different types has code s if a null is among them, else o. It is optional if
-    it is missing from some element of its parent or null somewhere. Indexes read as [].
-    """
-    leaves = json_leaves(df, json, key)
-    path = F.regexp_replace("path_text", r"\[[0-9]+\]", "[]")
-    path = F.when(F.col("vtype") == "empty_array", F.concat(path, F.lit("[]"))).otherwise(path)
-    code = F.element_at(F.create_map(*[F.lit(x) for kv in CODES.items() for x in kv]), F.col("vtype"))
-    nullish = F.col("vtype").isin("null", "empty_array")
-    leaves = leaves.select(key, path.alias("path"), F.when(~nullish, code).alias("code"), nullish.alias("nullish"))
-    documents = df.where(F.col(json).isNotNull()).count()
-    found = leaves.groupBy("path").agg(F.array_sort(F.collect_set("code")).alias("codes"), F.max("nullish").alias("nullish"), F.countDistinct(key).alias("documents_with"))
-    one = F.when(F.size("codes") == 0, F.lit("s")).when(F.size("codes") == 1, F.get("codes", 0)).otherwise(F.lit("o"))
-    return found.select("path", one.alias("code"), (F.col("nullish") | (F.col("documents_with") < documents)).alias("optional"))
-
-
-def infer_declaration(df: DataFrame, json: str, key: str) -> str:
-    """Declaration text of inferred_fields; one row per distinct path reaches the driver."""
-    rows = inferred_fields(df, json, key).orderBy("path").collect()
-    return "\n".join(f"{r['path']}:{r['code']}{'?' if r['optional'] else ''}" for r in rows)
+
+def infer_declaration(df: DataFrame, json: str) -> str:
+    """The declaration text of all rows."""
+    row = declarations(df, json).first()
+    return row["declaration"] if row else ""
 
 
 def declared_text(place: Declared) -> str:

@@ -113,3 +113,19 @@ def leaf_profile(leaves: DataFrame) -> DataFrame:
     """Per path without indexes: documents' leaves by type."""
     path = F.regexp_replace("path_text", r"\[[0-9]+\]", "[]")
     return leaves.groupBy(path.alias("path_text"), "vtype").agg(F.count("*").alias("leaves"))
+
+
+def leaves_table():
+    """The table function behind leaf_leaves(json): ord, path_text, vtype, str, num, bool of each leaf."""
+
+    class Leaves:
+        def eval(self, text: str):
+            try:
+                found = [] if text is None else list(walk(loads(text)))
+            except (Unreadable, ValueError):
+                found = []
+            for n, (steps, v) in enumerate(found):
+                r = _leaf_row(n, steps, v)
+                yield tuple(r[k] for k in ("ord", "path_text", "vtype", "str", "num", "bool"))
+
+    return F.udtf(Leaves, returnType="ord int, path_text string, vtype string, str string, num double, bool boolean")

@@ -38,7 +38,7 @@ def encoded(df: DataFrame, fields: dict, *keep: str, name: str = "text", **optio
     """keep and the text of a struct of the given fields, compiled from its static type."""
     rows = df.select(*keep, F.struct(*[v.alias(k) for k, v in fields.items()]).alias("__s"))
     kind = rows.schema["__s"].dataType
-    return rows.select(*keep, native.encode_struct(F.col("__s"), kind, **({"doubles": "short", "braces": "protect"} | options)).alias(name))
+    return rows.select(*keep, native.encode_struct(F.col("__s"), kind, **options).alias(name))
 
 
 def as_json(df: DataFrame, fields: dict, *keep: str, name: str = "json") -> DataFrame:
@@ -115,7 +115,7 @@ def encode_orders_table_mode(spark, sf_dir):
 )
 def array_mode_costs(spark, sf_dir):
     rows = order_items(spark, sf_dir)
-    kind, compiler, path = rows.schema["items"].dataType, native.Compiler("short", "protect"), F.lit("items")
+    kind, compiler, path = rows.schema["items"].dataType, native.Compiler(), F.lit("items")
     forms = {"path": compiler.by_path, "table": compiler.table, "inline": compiler.inline_rows, "literal": compiler.literal_rows}
     sizes = rows.select("l_orderkey", *[(F.octet_length(f(path, F.col("items"), kind)) + 1).cast("long").alias(f"{k}_bytes") for k, f in forms.items()])
     ranked = F.filter(F.array(*[F.struct(F.col(f"{k}_bytes").alias("size"), F.lit(i).alias("i"), F.lit(k).alias("form")) for i, k in enumerate(forms)]), lambda x: x["size"].isNotNull())
@@ -319,8 +319,7 @@ def generated_shapes(spark, sf_dir):
 
 @query("SELECT count(*) AS documents, 1.0::DOUBLE AS parse, 1.0::DOUBLE AS fidelity, 1.0::DOUBLE AS idempotent FROM events")
 def roundtrip_rate(spark, sf_dir):
-    rows = events_json(spark, sf_dir)
-    return metrics.fidelity(rows.withColumn("text", columns.encode(F.col("json"))["text"]), "json", "text")
+    return metrics.fidelity(events_json(spark, sf_dir), "json")
 
 
 @query("SELECT * FROM (SELECT 'markdown_stripped' AS kind, count(*) AS uses FROM nation UNION ALL SELECT 'repeated_keys_indexed', count(*) FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'separator_coerced', count(*) FROM nation WHERE n_nationkey % 2 = 1) WHERE uses > 0")
@@ -434,11 +433,29 @@ def stratified_split(spark, sf_dir):
     return dataset.stratified_split(events, "event_type", "event_id", 0.1, [last]).select("event_id", "split")
 
 
-@query("SELECT * FROM (VALUES ('event_id', 'n', false), ('event_type', 's', true), ('props.k', 'n', false), ('tags[]', 's', false)) v(path, code, optional)")
+@query(
+    """SELECT * FROM (VALUES ('event_id', 'n', false), ('event_type', 's', true), ('props.k', 'n', false), ('rows[]', 'o', false), ('rows[].even', 'n', true), ('rows[].id', 'n', false),
+  ('rows[].odd', 'n', true), ('some', 'o', true), ('tags[]', 's', false), ('none[]', 's', true)) v(path, code, optional)"""
+)
 def infer_declaration(spark, sf_dir):
     kind = F.when(F.col("event_id") % 3 != 0, F.col("event_type"))
+    even = F.map_filter(F.create_map(F.lit("id"), F.col("event_id"), F.when(F.col("event_id") % 2 == 0, "even").otherwise("odd"), F.col("user_id")), lambda k, v: k != "")
     fields = {"event_id": F.col("event_id"), "event_type": kind, "props": F.from_json("props", "struct<k:bigint>"), "tags": F.array(F.lit("a"), F.lit("b"))}
-    return dataset.inferred_fields(as_json(table(spark, sf_dir, "events"), fields, "event_id"), "json", "event_id")
+    fields |= {"rows": F.array(even), "some": F.when(F.col("event_id") % 5 == 0, F.struct(F.lit(1).alias("x"))), "none": F.array().cast("array<string>")}
+    return dataset.inferred_fields(as_json(table(spark, sf_dir, "events"), fields, "event_id"), "json").select(F.inline("fields"))
+
+
+SHAPES_SQL = ", ".join(f"('{name}')" for name in shapes.SHAPES)
+
+
+@query(f"SELECT shape, 40 AS objects, 40 AS declared, 40 AS found FROM (VALUES {SHAPES_SQL}) v(shape)")
+def declared_shapes(spark, sf_dir):
+    """Generated objects of every shape, read back by declarations inferred from each: all come back as they were."""
+    rows = shapes.generate(spark, 20).withColumn("text", columns.encode(F.col("json"))["text"])
+    rows = rows.join(dataset.declarations(rows, "json", "shape", "seed", "mode"), ["shape", "seed", "mode"])
+    read = columns.decode_by(F.col("text"), F.col("declaration"))
+    rows = rows.select("shape", "declaration", (read["ok"] & (read["canonical"] == F.col("text"))).alias("same"))
+    return rows.groupBy("shape").agg(F.count("*").alias("objects"), F.count_if(F.col("declaration").isNotNull()).alias("declared"), F.count_if("same").alias("found"))
 
 
 @query()

@@ -50,7 +50,7 @@ def as_json():
 @pytest.mark.parametrize("profile", ["canonical", "generation"])
 @pytest.mark.parametrize("markers", [False, True])
 def test_compiler_against_kernel(structs, profile, markers):
-    both = structs.select(native.encode_struct(F.col("s"), STRUCT, profile, markers, braces="protect").alias("a"), columns.encode(as_json(), profile, markers)["text"].alias("b"))
+    both = structs.select(native.encode_struct(F.col("s"), STRUCT, profile, markers).alias("a"), columns.encode(as_json(), profile, markers)["text"].alias("b"))
     assert [(r.a, r.b) for r in both.collect() if r.a != r.b] == []
 
 
@@ -61,12 +61,29 @@ def test_round_trip_and_validation(structs):
         assert r.v.ok and r.f.canonical == r.text
 
 
-def test_arrays_that_need_the_kernel_fall_back(structs):
+def test_values_that_expressions_leave_to_the_kernel(spark):
+    big = [2**53 + 1, -(2**53) - 1, 2**63 - 1, 10**18 + 1, 2**53, 999]
+    doubles = [1e-7, 0.1 + 0.2, 1e9, 123456789.1234567, 5e-324, 1e300, 2.5]
+    decimals = ["1e24", "0.0000001", "12345678901234567890.5", "1.50", "-0.000001", "99999999999999999999999999999999999999", "7"]
+    texts = ["{a=1}", "{a}", "{a=1,a=2}", "{a={b=1}}", "x"]
+    n = 35
+    rows = [(big[i % 6], doubles[i % 7], texts[i % 5], [big[i % 6], 1], [{"x": doubles[i % 7], "y": texts[i % 5]}] * 2, [texts[i % 5], "b"]) for i in range(n)]
+    df = spark.createDataFrame(rows, "l long, d double, s string, ls array<long>, rows array<struct<x:double,y:string>>, ss array<string>")
+    df = df.select(F.struct("*").alias("s"))
+    dec = spark.createDataFrame([(d,) for d in decimals], "d string").select(F.struct(F.col("d").cast("decimal(38,7)").alias("d"), F.col("d").cast("float").alias("f")).alias("s")).where("s.d is not null")
+    for frame in (df, dec):
+        kind = frame.schema["s"].dataType
+        for profile in ("canonical", "generation"):
+            both = frame.select(native.encode_struct(F.col("s"), kind, profile).alias("a"), columns.encode(as_json(), profile)["text"].alias("b"), columns.validate(native.encode_struct(F.col("s"), kind)).alias("v"))
+            found = both.collect()
+            assert [(r.a, r.b) for r in found if r.a != r.b] == []
+            assert all(r.v.ok for r in found)
     kind = T.StructType([FIELD("x", T.ArrayType(T.DoubleType()))])
+    for bad in (float("nan"), float("inf")):
+        with pytest.raises(Exception, match="non-finite"):
+            spark.range(1).select(native.encode_struct(F.struct(F.array(F.lit(bad)).alias("x")), kind)).collect()
     with pytest.raises(native.NotStatic):
-        native.encode_struct(F.struct(F.array(F.lit(1.5)).alias("x")), kind)
-    got = structs.limit(1).select(columns.encode_column(F.struct(F.array(F.lit(1.5), F.lit(1e-7)).alias("x")), kind).alias("t")).first().t
-    assert got == "x=[\n1.5\n1e-7\n]"
+        native.encode_struct(F.lit(None), T.StructType([FIELD("m", T.MapType(T.StringType(), T.LongType()))]))
 
 
 def test_static_refusals():
@@ -100,3 +117,7 @@ def test_typed_decoding_and_sql_names(spark):
     assert r.u.asDict() == {"id": 7.0} and r.name == "x"
     columns.register(spark)
     assert spark.sql("select leaf_decode('a: 1').canonical c, leaf_encode('{\"b\":[]}').text t, leaf_number(1e21D) n").first().asDict() == {"c": "a=<<< 1>>>", "t": "b=[]", "n": "1e+21"}
+    rows = spark.sql("select leaf_fix('a: 1').canonical f, leaf_decode_by('a=5', 'a:s').value d, leaf_validate_by('a=5', 'b:n').ok v, leaf_decode_lenient_by('a=5', 'a:s').value l").first()
+    assert rows.asDict() == {"f": "a=<<< 1>>>", "d": '{"a":"5"}', "v": False, "l": '{"a":"5"}'}
+    found = spark.sql("select t.id, l.path_text, l.num from values (1, '{\"a\":[1,2]}'), (2, null) t(id, j), lateral leaf_leaves(t.j) l order by l.ord").collect()
+    assert [tuple(r) for r in found] == [(1, "a[0]", 1.0), (1, "a[1]", 2.0)]

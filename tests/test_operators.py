@@ -45,7 +45,49 @@ def test_shuffle_and_sample_hang_on_keys_alone(spark):
 
 def test_declaration_of_rows(spark):
     df = spark.createDataFrame([(1, '{"a":1,"b":[{"c":"x"}],"d":null}'), (2, '{"a":2,"b":[],"d":true,"e":"only"}')], "id long, j string")
-    assert dataset.infer_declaration(df, "j", "id") == "a:n\nb[]:s?\nb[].c:s?\nd:b?\ne:s?"
+    assert dataset.infer_declaration(df, "j") == "a:n\nb[]:o\nb[].c:s\nd:b?\ne:s?"
+
+
+@pytest.mark.parametrize(
+    "objects, want",
+    [
+        (['{"a":[{"x":1},{"y":2}]}'], "a[]:o\na[].x:n?\na[].y:n?"),
+        (['{"m":null}', '{"m":{"p":1}}', '{"m":[]}'], "m:o?"),
+        (['{"m":[]}'], "m[]:s?"),
+        (['{"a":[1,null]}'], "a:o"),
+        (['{"a":["5",5]}', '{"a":[true]}'], "a:o"),
+        (['{"r":[{"v":"5","w":1}]}', '{"r":[{"v":5,"w":1}]}'], "r[]:o"),
+        (['{"t":"x\\ny","o":{},"z":{"q":{"d.e":1}}}'], "o:o\nt:t\nz.q.<<<d.e>>>:n"),
+        (['{"a":[[1]],"b":null,"c":[{}]}'], "a:o\nb:s?\nc[]:o"),
+        (['{"x":1}', '{"x":true}', "[1]", "none"], "x:o"),
+    ],
+)
+def test_declarations_hold(spark, objects, want):
+    df = spark.createDataFrame([(o,) for o in objects], "j string")
+    assert dataset.infer_declaration(df, "j") == want
+    text = columns.encode("j")["text"]
+    got = df.select(text.alias("t"), columns.decode(text, want).alias("d")).where("t is not null").collect()
+    assert all(r.d.ok and r.d.canonical == r.t for r in got), got
+
+
+def test_selection_keys_rows_apart(spark):
+    df = spark.createDataFrame([(1, '{"a":1}'), (1, '{"b":1,"c":2}'), (2, '{"c":2,"b":1}'), (3, "{}"), (4, None), (5, "no")], "id long, j string")
+    kept, counts = dataset.selected(df, "j", "id", 2)
+    assert [(r.id, r.j, r.leaves) for r in kept.collect()] == [(1, '{"b":1,"c":2}', 2)]
+    assert counts.first().asDict() == {"rows": 6, "empty": 3, "small": 1, "kept": 1, "copies": 1}
+
+
+def test_draws_and_unions(spark):
+    df = spark.range(300).select("id", dataset.whole_number(3, 7, "id").alias("n"), dataset.picked_many(["a", "b", "c", "d"], 2, "id").alias("two"))
+    got = df.collect()
+    assert {r.n for r in got} == set(range(3, 8))
+    assert all(len(set(r.two)) == 2 for r in got) and len({tuple(r.two) for r in got}) == 12
+    both = dataset.union_of_splits(spark.range(2).withColumn("x", F.lit(1)), spark.range(1)).collect()
+    assert sorted((r.id, r.x or 0) for r in both) == [(0, 0), (0, 1), (1, 1)]
+    rows = spark.createDataFrame([(i, '{"a":1}') for i in range(9)], "id long, j string")
+    assert [r.id for r in dataset.round_tripping(rows, "j", "id", limit=3).collect()] == [0, 1, 2]
+    cases = spark.createDataFrame([("a", 10, 5), ("b", 10, 2), ("c", 0, 1)], "name string, json_size long, text_size long")
+    assert [r.name for r in metrics.by_saving(cases, "name").collect()] == ["b", "a", "c"]
 
 
 def test_rates_and_orders(spark):
