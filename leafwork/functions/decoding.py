@@ -231,7 +231,7 @@ class Document:
         if not rest:
             self.note("unterminated_block_closed_at_eof", f"key '{key}'")
             return self._content(key, at, len(self.lines), out)
-        self.fail(Unreadable(f"unterminated multiline block at line {at + 1} (nonce {nonce or '<none>'}): ambiguous closers"), at + 1, key)
+        self.fail(Unreadable(f"line {at + 1}: any of {len(rest)} lines could close this block"), at + 1, key)
         return at + 1
 
     def _loose_block(self, m: re.Match, at: int, out: list[Leaf]) -> int | None:
@@ -248,7 +248,7 @@ class Document:
     def _single(self, line: str, number: int) -> Leaf:
         at = first_separator(line, "=:")
         if at < 0:
-            raise Unreadable(f"no separator in leaf at line {number}: {line}")
+            raise Unreadable(f"line {number} has no = or : behind a name: {line}")
         key, rest = line[:at], line[at + 1 :]
         if line[at] == ":":
             if rest.startswith(":"):
@@ -293,22 +293,22 @@ class Document:
         if len(steps) > 1 and key in schema.fields:
             self.note("pathological_key_resolved", key)
             return [key], schema.fields[key]
-        raise Unreadable(f"schema: unknown field '{key}'")
+        raise Unreadable(f"'{key}' is not declared")
 
     def read(self, leaf: Leaf, schema: Declared | None, headers: dict[str, list[str]]) -> tuple[list[str | int], object]:
         reader = Reader(self.repairs)
         if leaf.kind == "row":
             prefix = _indexed.fullmatch(leaf.key)[1]
             if prefix not in headers:
-                raise Unreadable(f"table row before header for prefix: {prefix}")
+                raise Unreadable(f"a row of {prefix}, whose columns are not named")
             names, cells = headers[prefix], leaf.body
             if len(names) != len(cells):
-                raise Unreadable(f"table row column count mismatch at {leaf.key}: expected {len(names)}, got {len(cells)}")
+                raise Unreadable(f"{leaf.key}: {len(cells)} cells for {len(names)} columns")
         steps, place = self.located(leaf.key, schema)
         known = place is not None and place is not OPEN_PLACE
         if leaf.kind == "literal":
             if known and not place.element and place.code != "o":
-                raise Unreadable(f"schema: '{leaf.key}' is not an array")
+                raise Unreadable(f"'{leaf.key}' holds rows but is declared as {place.kind}")
             inner = None if place is None else OPEN_PLACE if place is OPEN_PLACE or place.code == "o" else place.element
             return steps, [reader.value(row, inner) for row in leaf.body]
         if leaf.kind == "row":
@@ -316,12 +316,12 @@ class Document:
             for name, cell in zip(names, cells, strict=True):
                 inner = None if place is None else place.below(name)
                 if known and inner is None:
-                    raise Unreadable(f"schema: unknown column '{name}' at '{leaf.key}'")
+                    raise Unreadable(f"'{leaf.key}': column {name} is not declared")
                 row[name] = reader.value(cell, inner)
             return steps, row
         if leaf.kind == "block":
             if known and place.code not in ("s", "t", "o"):
-                raise Unreadable(f"schema: multiline block where {place.kind} expected")
+                raise Unreadable(f"'{leaf.key}' holds lines of text but is declared as {place.kind}")
             return steps, leaf.body
         if leaf.kind == "bare":
             return steps, reader.value(leaf.body, place)
@@ -345,19 +345,19 @@ class Document:
         if schema is not None:
             missing = list(missing_fields(schema, value))
             if missing and not self.lenient:
-                raise Unreadable(f"schema: missing required field(s): {', '.join(missing)}")
-            self.errors += [{"line": None, "key": k, "error": "schema: missing required field"} for k in missing]
+                raise Unreadable(f"declared, but not there: {' '.join(missing)}")
+            self.errors += [{"line": None, "key": k, "error": "declared, but not there"} for k in missing]
         return value
 
 
 def _by_tag(tag: str, raw: str):
     if tag == "n":
         if not is_number(raw):
-            raise Unreadable(f"bad number: {raw}")
+            raise Unreadable(f"tagged as a number: {raw}")
         return parse_number(raw)
     if tag == "b":
         if raw not in ("true", "false"):
-            raise Unreadable(f"bad boolean: {raw}")
+            raise Unreadable(f"tagged as a boolean: {raw}")
         return raw == "true"
     return unwrapped(raw)
 
@@ -387,17 +387,17 @@ class Place:
         here = self
         for n, step in enumerate(steps):
             if (here.kind == "array") != isinstance(step, int):
-                raise Unreadable(f"path collision: list expected dict-key '{step}'" if here.kind == "array" else f"path collision: dict expected list-index {step}")
+                raise Unreadable(f"{step!r} can't be a member of an {here.kind}")
             named = f"index {step}" if isinstance(step, int) else f"'{step}'"
             if n + 1 == len(steps):
                 if step in here.members:
-                    raise Unreadable(f"path collision: {named} already exists")
+                    raise Unreadable(f"{named} has a value already")
                 here.members[step] = Place.of(value)
                 return
             wanted = "array" if isinstance(steps[n + 1], int) else "object"
             below = here.members.setdefault(step, Place(wanted))
             if not isinstance(below, Place) or below.kind != wanted:
-                raise Unreadable(f"path collision at {named}")
+                raise Unreadable(f"{named} is no {wanted}")
             here = below
 
     def first_gap(self) -> int | None:
@@ -431,9 +431,9 @@ class Place:
                 for inner, p in member.below():
                     if (gap := p.first_gap()) is not None:
                         if not document.lenient:
-                            raise Unreadable(f"sparse array at {at}{inner}[{gap}]")
+                            raise Unreadable(f"{at}{inner} has no element {gap}")
                         del place.members[name]
-                        document.fail(Unreadable(f"sparse array under '{at}': subtree dropped"), key=at)
+                        document.fail(Unreadable(f"'{at}' lacks elements and is left out"), key=at)
                         break
 
     def value(self):
@@ -449,31 +449,31 @@ def path_steps(key: str) -> list[str | int]:
         if key.startswith(OPEN, at):
             end = key.find(CLOSE, at + len(OPEN))
             if end < 0:
-                raise Unreadable(f"unterminated quoted key segment in: {key}")
+                raise Unreadable(f"{OPEN} without {CLOSE}: {key}")
             steps.append(key[at + len(OPEN) : end])
             at = end + len(CLOSE)
         elif key[at] == "[":
             end = key.find("]", at)
             if end < 0:
-                raise Unreadable(f"unterminated index segment in: {key}")
+                raise Unreadable(f"[ without ]: {key}")
             if not _index.fullmatch(key, at + 1, end):
-                raise Unreadable(f"bad index '{key[at + 1 : end]}' in: {key}")
+                raise Unreadable(f"[{key[at + 1 : end]}] is no index: {key}")
             steps.append(int(key[at + 1 : end]) if end - at < 20 else 10**18)
             at = end + 1
         else:
             end = min((p for p in (key.find(".", at), key.find("[", at)) if p >= 0), default=len(key))
             if end == at:
-                raise Unreadable(f"empty path segment in: {key}")
+                raise Unreadable(f"a name is empty: {key}")
             steps.append(key[at:end])
             at = end
         if key.startswith(".", at):
             at += 1
             if at == len(key):
-                raise Unreadable(f"trailing '.' in path: {key}")
+                raise Unreadable(f"nothing behind the last dot: {key}")
         elif at < len(key) and key[at] != "[":
-            raise Unreadable(f"malformed path after segment in: {key}")
+            raise Unreadable(f"a dot or an index is wanted at {at}: {key}")
     if not steps:
-        raise Unreadable("empty path")
+        raise Unreadable("no name at all")
     return steps
 
 
@@ -528,5 +528,5 @@ def validate_text(text: str, schema: str | Declared | None = None) -> list[str]:
     if found.error is not None:
         return [found.error]
     if found.repairs:
-        return [f"non-canonical: {len(found.repairs)} repair(s) needed"]
-    return [] if found.canonical == text else ["non-canonical: differs from canonical form"]
+        return [f"{len(found.repairs)} repairs were made"]
+    return [] if found.canonical == text else ["the canonical text is another one"]
