@@ -162,7 +162,7 @@ def near_pairs(lines: DataFrame, edits: int = EDITS, span: int = SPAN) -> DataFr
     probes = written(probe_rows(lines, edits, span).join(index.withColumnRenamed("key", "own"), (F.col("key") == F.col("own")) & (F.col("probe") != F.col("line")), "left_semi"), "probes")
     index = written(index.join(probes.select("key").distinct().hint("merge"), "key", "left_semi"), "segments")
     named = probes.select(F.col("probe").alias("line")).union(index.select("line")).distinct()
-    texts = written(lines.select("line", "text").join(named, "line").withColumn("letters", letter_counts(F.col("text"))), "texts")
+    texts = written(lines.select("line", "text").join(named.hint("merge"), "line").withColumn("letters", letter_counts(F.col("text"))), "texts")
     letters = texts.select("line", "letters")
     index = written(index.join(letters, "line"), "segments")
     probes = written(probes.join(letters.toDF("probe", "probe_letters"), "probe"), "probes")
