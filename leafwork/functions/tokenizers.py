@@ -66,3 +66,17 @@ def _counts(path: str):
 def token_count(text: Column | str, path: str) -> Column:
     """Tokens of a text, without special ones added; null for null."""
     return _counts(path)(text)
+
+
+@lru_cache(8)
+def cutter(path: str | None):
+    """(size of a text, its beginning of at most so much): in tokens of a vocabulary that gives texts back, or in UTF-8 bytes."""
+    if path is None:
+        return lambda text: len(text.encode()), lambda text, n: text.encode()[:n].decode(errors="ignore")
+    if Path(path).suffix == ".json":
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(path)
+        ends = lambda text: [end for _, end in found.encode(text, add_special_tokens=False).offsets]
+        return lambda text: len(ends(text)), lambda text, n: text[: max(ends(text)[:n], default=0)]
+    raise ValueError(f"no cut is known for {path}")

@@ -34,6 +34,11 @@ def walk(value: object) -> Iterator[tuple[list, object]]:
             yield steps, v
 
 
+def same_value(a: object, b: object) -> bool:
+    """Whether two leaves are the same: of one type, and equal."""
+    return type(a) is type(b) and a == b
+
+
 def steps_text(steps: list) -> str:
     out = ""
     for s in steps:

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.functions import columns, tokenizers
-from leafwork.operators.leaves import json_leaves
+from leafwork.functions.decoding import decode_lenient_text
+from leafwork.functions.encoding import encode_value
+from leafwork.functions.partial_json import partial_value
+from leafwork.functions.wire import Unreadable
+from leafwork.operators.leaves import same_value, steps_text, walk
 
 
 def byte_size(text: Column) -> Column:
@@ -104,18 +111,56 @@ def recovery(original: DataFrame, recovered: DataFrame, key: str = "doc_id") ->
     return rows.agg(F.count("*").alias("leaves"), F.count_if(F.col("v").eqNullSafe(F.col("w"))).alias("found")).withColumn("recovery", F.col("found") / F.col("leaves"))
 
 
-def truncation_curve(df: DataFrame, key: str, json: str, profiles: tuple[str, ...] = ("canonical", "generation"), cuts: int = 9) -> DataFrame:
-    """(profile, cut, recovery): mean share of leaves read leniently from texts cut at cut / (cuts + 1) of their characters."""
-    original = json_leaves(df, json, key)
-    out = None
-    for profile in profiles:
-        texts = df.select(key, columns.encode(F.col(json), profile)["text"].alias("text"))
-        texts = texts.select(key, "text", F.explode(F.sequence(F.lit(1), F.lit(cuts))).alias("cut"))
-        n = F.floor(F.length("text") * F.col("cut") / (cuts + 1)).cast("int")
-        texts = texts.select(key, "cut", columns.decode_lenient(F.substring(F.col("text"), F.lit(1), n))["value"].alias("value"))
-        got = json_leaves(texts, "value", key, "cut").select(key, "cut", "path_text", F.struct("vtype", "str", "num", "bool").alias("w"))
-        wanted = original.select(key, "path_text", F.struct("vtype", "str", "num", "bool").alias("v"), F.explode(F.sequence(F.lit(1), F.lit(cuts))).alias("cut"))
-        each = wanted.join(got, [key, "cut", "path_text"], "left").groupBy(key, "cut").agg((F.count_if(F.col("v").eqNullSafe(F.col("w"))) / F.count("*")).alias("share"))
-        each = each.groupBy("cut").agg(F.avg("share").alias("recovery")).select(F.lit(profile).alias("profile"), "cut", "recovery")
-        out = each if out is None else out.unionByName(each)
+FORMS = ("canonical", "generation", "json")
+
+
+def _share_found(wanted: dict, got: object) -> float:
+    found = {steps_text(steps): v for steps, v in walk(got)}
+    return sum(k in found and same_value(found[k], v) for k, v in wanted.items()) / len(wanted)
+
+
+def cut_shares(text: str, cuts: int = 9, vocabulary: str | None = None) -> list[tuple[str, int, float]]:
+    """(form, cut, share) of a JSON object: the share of its leaves that is read from each form's beginning.
+
+    Cut c of cuts leaves every form the same: c / (cuts + 1) of the size of the minified JSON, in tokens of a
+    vocabulary or in bytes. Both profiles are read leniently; the JSON is read as far as it goes.
+    """
+    value = columns.loads(text)
+    size, beginning = tokenizers.cutter(vocabulary)
+    wanted = {steps_text(steps): v for steps, v in walk(value)}
+    made = {"canonical": encode_value(value), "generation": encode_value(value, "generation"), "json": columns.dumps(value)}
+    budget, out = size(made["json"]), []
+    for form in FORMS:
+        for c in range(1, cuts + 1):
+            part = beginning(made[form], budget * c // (cuts + 1))
+            got = partial_value(part, columns.loads) if form == "json" else decode_lenient_text(part).value
+            out.append((form, c, _share_found(wanted, got)))
     return out
+
+
+def truncation_curve(df: DataFrame, json: str, *groups: str, cuts: int = 9, vocabulary: str | None = None) -> DataFrame:
+    """(groups, form, cut, documents, recovery): mean share of leaves read from forms cut at equal budgets.
+
+    See cut_shares. Each document is read in one pass and its shares are summed in its batch; what is no JSON object is passed over.
+    """
+    kinds = "".join(f"`{g}` {df.schema[g].dataType.simpleString()}, " for g in groups)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums: dict[tuple, list] = {}
+            for i, text in enumerate(b.column(len(groups)).to_pylist()):
+                try:
+                    found = [] if text is None else cut_shares(text, cuts, vocabulary)
+                except (Unreadable, ValueError):
+                    continue
+                own = tuple(b.column(k)[i].as_py() for k in range(len(groups)))
+                for form, cut, share in found:
+                    one = sums.setdefault((*own, form, cut), [0, 0.0])
+                    one[0] += 1
+                    one[1] += share
+            rows = [(*k, *v) for k, v in sums.items()]
+            types = [*(b.schema.field(k).type for k in range(len(groups))), pa.string(), pa.int32(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=[*groups, "form", "cut", "documents", "share"])
+
+    found = df.select(*groups, json).mapInArrow(run, f"{kinds}form string, cut int, documents long, share double")
+    return found.groupBy(*groups, "form", "cut").agg(F.sum("documents").alias("documents"), (F.sum("share") / F.sum("documents")).alias("recovery"))

@@ -14,7 +14,8 @@ from leafwork.functions.wire import FRAME_CLOSE, FRAME_OPEN
 from leafwork.operators import dataset, joins, leaves, metrics, shapes
 from leafwork.plans import repairs
 from leafwork.sources.files import function_calls
-from leafwork.streaming.finalize import finalize_batch
+from leafwork.sources.scratch import fresh_path
+from leafwork.streaming.finalize import FINAL, finalize_batch, finalize_stream
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -338,7 +339,15 @@ def leaf_recovery(spark, sf_dir):
 
 @query()
 def recovery_curve(spark, sf_dir):
-    return metrics.truncation_curve(as_json(table(spark, sf_dir, "nation"), c("n_nationkey", "n_name", "n_regionkey"), "n_nationkey"), "n_nationkey", "json")
+    """Generated objects of every shape, cut at equal budgets: what is read of each profile and of the JSON."""
+    return metrics.truncation_curve(shapes.generate(spark, 3), "json", "mode")
+
+
+@query()
+def shape_savings(spark, sf_dir):
+    """Tokens saved against JSON by shape and tokenizer, over generated objects."""
+    rows = shapes.generate(spark, 5).where("mode = 'normal'")
+    return metrics.token_savings(rows.withColumn("text", columns.encode(F.col("json"))["text"]), "json", "text", tokenizers.installed(), "shape")
 
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -480,10 +489,40 @@ def transcript_calls(spark, sf_dir):
     return function_calls(table(spark, sf_dir, "nation").select("n_nationkey", call.alias("chat")), "chat", "n_nationkey")
 
 
-@query("SELECT conv_id::VARCHAR AS doc_id, string_agg(role || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+TURNS_SQL = """t AS (SELECT conv_id::VARCHAR AS doc_id, turn, 't' || turn || '.role=' || role || chr(10) || 't' || turn || '.text=<<<' || chr(10) || text || chr(10) || '>>>' || chr(10) AS lines,
+  't' || turn AS name, '{"role":' || to_json(role) || ',"text":' || to_json(text) || '}' AS value FROM conversations)"""
+CONVERSATION_SQL = """string_agg(lines, '' ORDER BY turn) AS text, '{' || string_agg(to_json(name) || ':' || value, ',' ORDER BY name) || '}' AS value, 0 AS errors"""
+
+
+def conversation_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, seq, delta, last): each turn's role and text as two pieces of the conversation's document, some of them sent twice."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), "turn", "role", "text")
+    turns = turns.join(turns.groupBy("doc_id").agg(F.max("turn").alias("end")), "doc_id")
+    name = F.concat(F.lit("t"), F.col("turn").cast("string"))
+    parts = F.array(F.concat(name, F.lit(".role="), "role", F.lit("\n")), F.concat(name, F.lit(".text=<<<\n"), "text", F.lit("\n>>>\n")))
+    rows = turns.select("doc_id", "turn", "end", F.posexplode(parts).alias("half", "delta"))
+    rows = rows.select("doc_id", (F.col("turn") * 2 + F.col("half")).cast("long").alias("seq"), "delta", ((F.col("turn") == F.col("end")) & (F.col("half") == 1)).alias("last"))
+    return rows.union(rows.where("seq % 3 = 0"))
+
+
+@query(f"WITH {TURNS_SQL} SELECT doc_id, {CONVERSATION_SQL}, false AS truncated FROM t GROUP BY doc_id")
 def conversation_finalize(spark, sf_dir):
-    deltas = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").alias("seq"), F.concat("role", F.lit("\n")).alias("delta"))
-    return finalize_batch(deltas).select("doc_id", "text")
+    found = finalize_batch(conversation_deltas(spark, sf_dir))
+    return found.select("doc_id", "text", "read.value", F.size("read.errors").alias("errors"), "read.truncated")
+
+
+@query(f"WITH {TURNS_SQL} SELECT doc_id, {CONVERSATION_SQL}, false AS truncated FROM t GROUP BY doc_id")
+def conversation_stream(spark, sf_dir):
+    """The same through a stream, to its end; what it gives is written to a table and read back."""
+    source, out, state = (fresh_path(spark, k) for k in ("deltas", "finished", "progress"))
+    conversation_deltas(spark, sf_dir).write.parquet(source)
+    # event time, of which there is one moment, so that the stream has an end
+    stream = spark.readStream.schema("doc_id string, seq long, delta string, last boolean").parquet(source).withColumn("at", F.lit("2024-01-01").cast("timestamp")).withWatermark("at", "1 minute")
+    started = finalize_stream(stream, event_time="at").writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).option("path", out).trigger(availableNow=True).start()
+    if not started.awaitTermination(3600):
+        started.stop()
+        raise TimeoutError("the stream has not come to its end")
+    return spark.read.schema(FINAL).parquet(out).select("doc_id", "text", "value", "errors", "truncated")
 
 
 @query("SELECT 'to:s' || chr(10) || 'cc[]:s?' || chr(10) || 'user:o?' || chr(10) || 'user.id:n' || chr(10) || 'rows[]:o' AS declaration, 'pair' AS degraded")

@@ -31,9 +31,13 @@ class StreamingDecoder:
 
 
 def finalize_batch(deltas: DataFrame, schema: str | None = None) -> DataFrame:
-    """The batch twin: (doc_id, text, read) of each document, its deltas in order of seq; a null delta is empty."""
-    parts = F.sort_array(F.collect_list(F.struct("seq", F.coalesce("delta", F.lit("")).alias("delta"))))
-    texts = deltas.groupBy("doc_id").agg(parts.alias("parts")).select("doc_id", F.array_join(F.transform("parts", lambda p: p["delta"]), "").alias("text"))
+    """The batch twin: (doc_id, text, read) of each document, its deltas in order of seq; a null delta is empty.
+
+    A seq that repeats counts once, as in the stream: by its least delta, should they differ.
+    """
+    once = deltas.groupBy("doc_id", "seq").agg(F.min(F.coalesce("delta", F.lit(""))).alias("delta"))
+    parts = F.sort_array(F.collect_list(F.struct("seq", "delta")))
+    texts = once.groupBy("doc_id").agg(parts.alias("parts")).select("doc_id", F.array_join(F.transform("parts", lambda p: p["delta"]), "").alias("text"))
     return texts.withColumn("read", columns.decode_lenient(F.col("text"), schema))
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafwork.functions import columns, tokenizers
+from leafwork.functions.partial_json import partial_value
 from leafwork.functions.wire import Unreadable
 from leafwork.operators import dataset, joins, leaves, metrics, ranges, shapes
 from leafwork.sources import files
@@ -168,3 +169,33 @@ def test_maps_and_variants(spark):
     wrong = spark.sql("select struct(map(1, 2) m) s")
     with pytest.raises(Unreadable):
         columns.encode_column(F.col("s"), wrong.schema["s"].dataType)
+
+
+def test_cut_json():
+    text = '{"a":"x\\u00e9\\"y","b":[1,{"c":true,"d":-2.5e3}],"e":null}'
+    assert partial_value(text) == json.loads(text)
+    assert partial_value("") == partial_value("no") == {}
+    wants = {1: {}, 4: {}, 6: {"a": ""}, 8: {"a": "x"}, 13: {"a": "x\u00e9"}, 15: {"a": 'x\u00e9"'}, 24: {"a": 'x\u00e9"y', "b": [1]}, 27: {"a": 'x\u00e9"y', "b": [1, {}]}}
+    assert {n: partial_value(text[:n]) for n in wants} == wants
+    for n in range(len(text)):
+        assert isinstance(partial_value(text[:n]), dict)
+
+
+def test_shares_at_equal_budgets():
+    """By hand: the JSON has 26 bytes, so the cuts leave 2, 5, 7, ... bytes of each form."""
+    text = '{"a":1,"b":2,"c":"three"}'
+    got = {(form, c): share for form, c, share in metrics.cut_shares(text)}
+    forms = {"canonical": "a=1\nb=2\nc=three", "generation": "a=1\nb=2\nc=three", "json": text}
+    for (form, c), share in got.items():
+        part = forms[form][: len(text) * c // 10]
+        seen = {"json": ('"a":1', '"b":2', '"c":"three'), "canonical": ("a=1", "b=2", "c=three"), "generation": ("a=1", "b=2", "c=three")}[form]
+        assert share == pytest.approx(sum(x in part for x in seen) / 3)
+    assert metrics.cut_shares("{}")[0][2] == 0.0 or metrics.cut_shares("{}")[0][2] == 1.0
+
+
+@pytest.mark.skipif(not tokenizers.installed(), reason="no vocabularies")
+def test_budgets_in_tokens():
+    path = next(p for p in tokenizers.installed() if p.endswith(".json"))
+    size, beginning = tokenizers.cutter(path)
+    text = "some words, and more"
+    assert beginning(text, size(text)) == text and text.startswith(beginning(text, 3)) and beginning(text, 0) == ""

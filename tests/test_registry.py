@@ -56,10 +56,12 @@ def test_the_rest_runs(spark, name):
 
 
 def test_recovery_falls_with_the_cut(spark):
-    got = {(r.profile, r.cut): r.recovery for r in registry.QUERIES["recovery_curve"](spark, str(SF)).collect()}
-    for profile in ("canonical", "generation"):
-        curve = [got[profile, c] for c in range(1, 10)]
-        assert curve == sorted(curve) and curve[-1] > 0.5
+    got = {(r["mode"], r.form, r.cut): r for r in registry.QUERIES["recovery_curve"](spark, str(SF)).collect()}
+    for mode in ("normal", "adversarial"):
+        for form in ("canonical", "generation", "json"):
+            curve = [got[mode, form, c].recovery for c in range(1, 10)]
+            assert curve[0] < curve[4] < curve[8] and curve[-1] > 0.5
+            assert {got[mode, form, c].documents for c in range(1, 10)} == {66}
 
 
 def test_entry_without_the_corpus_package(tmp_path):

@@ -24,7 +24,8 @@ def deltas(seed):
 
 
 def test_batch_puts_deltas_in_order(spark):
-    df = spark.createDataFrame([*deltas(1), ("n", 0, None, True)], KIND).repartition(5)
+    rows = deltas(1)
+    df = spark.createDataFrame([*rows, *rows[::2], ("n", 0, None, True)], KIND).repartition(5)
     got = {r.doc_id: r for r in finalize_batch(df).collect()}
     assert {k: r.text for k, r in got.items()} == {**TEXTS, "n": ""}
     for k, text in TEXTS.items():
