@@ -11,7 +11,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafwork.functions import decoding, encoding
+from leafwork.functions import decoding, encoding, native_decode
 from leafwork.functions.declarations import as_declared, parse_declaration, spark_type
 from leafwork.functions.inference import Declared, looks_like_inline_object
 from leafwork.functions.wire import Unreadable, number_text
@@ -256,11 +256,20 @@ def decode_value(text: Column | str, schema: str | None = None) -> Column:
 
 
 def decode_typed(text: Column | str, schema: str, fields: list[str] | None = None) -> Column:
-    """The declared fields as a struct of Spark types (some of them where fields is given); null where reading fails."""
-    kind = spark_type(parse_declaration(schema))
+    """The declared fields as a struct of Spark types (some of them where fields is given); null where reading fails.
+
+    Where the declaration holds scalars and objects of them alone, flat and undamaged texts are read by expressions, and
+    the Arrow function gets nulls for them.
+    """
+    declared = parse_declaration(schema)
+    kind = spark_type(declared)
     if fields is not None:
         kind = T.StructType([f for f in kind.fields if f.name in set(fields)])
-    return F.from_json(decode_value(text, schema), kind)
+    if not native_decode.is_flat(declared):
+        return F.from_json(decode_value(text, schema), kind)
+    text = F.col(text) if isinstance(text, str) else text
+    flat, read = native_decode.flat_fields(text, declared, kind)
+    return F.when(flat, read).otherwise(F.from_json(decode_value(F.when(~flat, text), schema), kind))
 
 
 def decode_variant(text: Column | str, schema: str | None = None) -> Column:

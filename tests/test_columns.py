@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafwork.functions import columns, native
+from leafwork.functions import columns, native, native_decode
+from leafwork.functions.declarations import parse_declaration, spark_type
 from leafwork.functions.wire import Unreadable
 
 POOL = ["", "a", " b", "c,d", "{x=1}", "{x=1", "<<<y>>>", "<<<", "[]", "{}", "true", "1e5", "01", "x=[", "[", "]", ">>>", "p\nq", "a\n>>>\nb", "e\rf", "z=<<<ab", "né😀", "null", "}", ":", "1.50"]
@@ -121,3 +122,28 @@ def test_typed_decoding_and_sql_names(spark):
     assert rows.asDict() == {"f": "a=<<< 1>>>", "d": '{"a":"5"}', "v": False, "l": '{"a":"5"}'}
     found = spark.sql("select t.id, l.path_text, l.num from values (1, '{\"a\":[1,2]}'), (2, null) t(id, j), lateral leaf_leaves(t.j) l order by l.ord").collect()
     assert [tuple(r) for r in found] == [(1, "a[0]", 1.0), (1, "a[1]", 2.0)]
+
+
+SCHEMA = "id:n\nname:s\no.flag:b?\no.note:t?\nx:n?"
+
+
+def test_flat_texts_by_expressions_and_by_the_kernel(spark):
+    """Whatever the text, the struct is the one that the kernel's value gives."""
+    rng, texts = random.Random(7), []
+    values = ["1", "-2.5", "1e999", "01", "true", "false", "null", "", "x", "a=b", "a=[", "q={ ", "z=<<", "<<<y>>>", "[]", "{}", "{a=1}", " pad", "pad ", "é😀", "a\u2028b", "1e5", "<", "k=<<<ab", "x\r", "-0", "1.", "Infinity", "NaN", "a:b", "5e-324", "<<<", ">>>"]
+    for _ in range(3000):
+        names = rng.sample(["id", "name", "o.flag", "o.note", "x"], rng.randint(3, 5))
+        names = sorted(names) if rng.random() < 0.8 else names
+        good = {"id": ["1", "-2.5", "1e5"], "x": ["7", "null"], "o.flag": ["true", "false", "null"], "name": ["x", "a=b", "null", "5"], "o.note": ["x y", "null"]}
+        lines = [f"{n}{rng.choice(['=', '=', '=', '=', '=', '=', '=', ':s=', ': '])}{rng.choice(values) if rng.random() < 0.15 else rng.choice(good[n])}" for n in names]
+        if rng.random() < 0.2:
+            lines.insert(rng.randint(0, len(lines)), rng.choice(["", "id=3", "more=1", "o={", "}", "```", "id[0]=1", ">>>", "x::a,b", " id=1", "o=5", "]"]))
+        texts.append("\n".join(lines))
+    texts += [None, "", "id=1", "id=1\nname=x", "```\nid=1\nname=x\n```", "\nid=1\nname=x\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(2)
+    declared = parse_declaration(SCHEMA)
+    assert native_decode.is_flat(declared) and not any(native_decode.is_flat(parse_declaration(d)) for d in ("a[]:s", "a:o", "<<<a.b>>>:s", "u:o?\nu.a:s"))
+    flat, _ = native_decode.flat_fields(F.col("t"), declared, spark_type(declared))
+    got = df.select("t", columns.decode_typed("t", SCHEMA).alias("a"), F.from_json(columns.decode_value("t", SCHEMA), spark_type(declared)).alias("b"), flat.alias("flat")).collect()
+    assert [(r.t, r.a, r.b) for r in got if r.a != r.b] == []
+    assert 200 < sum(r.flat for r in got) < 2800
