@@ -272,7 +272,7 @@ def declared_fields(profile: list[tuple[str, str, int]]) -> list[tuple[str, str,
     root = _Seen()
     for path, tag, n in profile:
         place = root
-        for step in re.findall(r"\[\]|(?:<<<.*?>>>|[^.\[\]]+)", path, re.S):
+        for step in re.findall(r"<<<.*?>>>|\[\]|[^.\[\]]+", path, re.S):
             if step == "[]":
                 place.element = place.element or _Seen()
                 place = place.element
