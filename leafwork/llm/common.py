@@ -5,8 +5,6 @@ from __future__ import annotations
 import ctypes
 import functools
 import math
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafwork.operators.ranges import part_of, partitions, splits
+from leafwork.sources import scratch
+from leafwork.sources.scratch import shared_dir
 
 __all__ = ["bounded_batches", "drop_written", "fresh_path", "give_back", "lean", "part_of", "partitions", "running", "shared_dir", "splits", "sums_before", "table", "word_count", "written"]
 
@@ -24,35 +24,16 @@ SPACE_BYTES = b" \t\n\x0b\x0c\r"
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Where it is unset (tests, a single machine) a temporary folder is set.
-    """
-    bounded_batches(spark)
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    found = "file://" + tempfile.mkdtemp(prefix="leafwork-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Bound the bytes of a batch that goes to a Python worker, unless the session does: rows may hold very long texts."""
     if not spark.sparkContext.getConf().contains(BATCH):
         spark.conf.set(BATCH, str(16 << 20))
 
 
-def own_dir(spark: SparkSession) -> str:
-    """This application's folder in the shared one."""
-    return f"{shared_dir(spark)}/leafwork/{spark.sparkContext.applicationId}"
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder, for a table that a query writes on its way."""
+    bounded_batches(spark)
+    return scratch.fresh_path(spark, name)
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -70,7 +51,7 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 def drop_written(spark: SparkSession) -> None:
     """Remove all tables that this application's written() has left in the shared folder, once no DataFrame needs them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch.own_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

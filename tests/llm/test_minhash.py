@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from leafwork.llm import minhash
+from leafwork.llm import minhash, textnum
 
 
 def shingles(text):
@@ -93,3 +93,21 @@ def test_near_duplicate_classes(spark):
                 label[max(find(i), find(j))] = min(find(i), find(j))
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
     assert got == {i: find(i) for i in texts}
+
+
+def test_signatures_by_whole_numbers():
+    """The permutations by unbounded integers, over the shingles' hashes."""
+    text = "a rose is a rose is a rose"
+    for _, data, offsets in textnum.chunks(pa.array([text]), 1 << 18):
+        shingles, _ = textnum.shingle_hashes(*textnum.word_hashes(data, offsets), minhash.WIDTH)
+    assert len(shingles) == 4 and len(set(shingles.tolist())) == 3
+    want = [min((int(a) * int(h) + int(b)) % 2**64 for h in shingles) >> 32 for a, b in zip(minhash._A, minhash._B, strict=True)]
+    assert minhash.signatures(pa.array([text]))[0].tolist() == want
+
+
+def test_near_duplicates_of_odd_tables(spark):
+    kind = "doc_id long, text string, node string, band string"
+    assert minhash.near_duplicates(spark.createDataFrame([], kind)).count() == 0
+    rows = [(3, "one two three four five six", "clash", None), (None, "one two three four five six", None, None), (1, None, None, None), (2, "", None, None), (None, "alone here", None, None)]
+    got = sorted(((str(r.doc_id), r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, kind)).collect()), key=str)
+    assert got == sorted([("3", 3), ("None", 3), ("1", 1), ("2", 1), ("None", None)], key=str)

@@ -108,3 +108,14 @@ def test_a_repeated_id_stands_for_each_of_its_groups(spark):
     assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(3, a), (5, b), (7, c), (7, None), (None, c)], key=str)
     kept = simhash.one_of_each(spark.createDataFrame([(5, a), (5, b)], "doc_id long, text string")).collect()
     assert sorted(r.text for r in kept) == sorted([a, b])
+
+
+def test_one_of_each_of_odd_tables(spark):
+    kind = "doc_id long, text string, __row string, meta map<string,string>"
+    assert simhash.one_of_each(spark.createDataFrame([], kind)).count() == 0
+    rows = [(1, "same text here", "a", {"k": "v"}), (1, "same text here", "b", None), (2, "same text here", "c", None), (None, "same text here", "d", None), (None, None, "e", None), (None, None, "f", None)]
+    got = simhash.one_of_each(spark.createDataFrame(rows, kind))
+    assert got.columns == ["doc_id", "text", "__row", "meta"]
+    found = [(r.doc_id, r["__row"]) for r in got.collect()]
+    assert sorted(x for i, x in found if i is None) == ["d", "e", "f"]
+    assert [i for i, _ in found if i is not None] == [1]
