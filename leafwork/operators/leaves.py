@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from leafwork.functions import native
 from leafwork.functions.columns import loads
 from leafwork.functions.decoding import Document
 from leafwork.functions.wire import Unreadable, key_text
@@ -92,6 +94,39 @@ def json_leaves(df: DataFrame, column: str, *keys: str) -> DataFrame:
     return _explode(df, column, keys, rows_of, _leaf, LEAF)
 
 
+def _one(path: Column, c: Column, kind: str, **values: Column) -> Column:
+    """An array of one leaf, null where c is."""
+    parts = {"str": F.lit(None).cast("string"), "num": F.lit(None).cast("double"), "bool": F.lit(None).cast("boolean")} | values
+    return F.array(F.struct(path.alias("path_text"), F.when(c.isNull(), "null").otherwise(kind).alias("vtype"), *[v.alias(k) for k, v in parts.items()]))
+
+
+def _static(path: Column, c: Column, t: T.DataType, root: bool = False) -> Column:
+    if isinstance(t, T.StructType) and t.fields:
+        member = lambda f: F.lit(key_text(f.name)) if root else F.concat(path, F.lit("." + key_text(f.name)))
+        inner = F.flatten(F.array(*[_static(member(f), c[f.name], f.dataType) for f in sorted(t.fields, key=lambda f: f.name)]))
+        return inner if root else F.when(c.isNull(), _one(path, c, "null")).otherwise(inner)
+    if isinstance(t, T.StructType):
+        return _one(path, c, "empty_object")
+    if isinstance(t, T.ArrayType):
+        rows = F.flatten(F.transform(c, lambda x, i: _static(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), x, t.elementType)))
+        return F.when(c.isNull() | (F.size(c) == 0), _one(path, c, "empty_array")).otherwise(rows)
+    if isinstance(t, T.BooleanType):
+        return _one(path, c, "boolean", bool=c)
+    if isinstance(t, T.NumericType):
+        return _one(path, c, "number", num=c.cast("double"))
+    s = F.lit(None).cast("string") if isinstance(t, T.NullType) else native.Compiler().as_string(c, t)
+    if s is None:
+        raise native.NotStatic(f"the leaves of a {t.simpleString()} are not known from its type")
+    return _one(path, c, "string", str=s)
+
+
+def struct_leaves(df: DataFrame, column: str, *keys: str) -> DataFrame:
+    """json_leaves of a struct column of static type, by expressions alone: keys, ord, path_text, vtype, str, num, bool. A null struct has none."""
+    found = _static(F.lit(""), F.col(column), df.schema[column].dataType, root=True)
+    rows = df.where(F.col(column).isNotNull()).select(*keys, F.posexplode(found).alias("ord", "leaf"))
+    return rows.select(*keys, "ord", "leaf.*")
+
+
 def text_leaves(df: DataFrame, column: str, *keys: str) -> DataFrame:
     """A row per leaf line of the text in column, as it is read leniently: key, kind and what stands there.
 

@@ -235,16 +235,26 @@ def text_leaves(spark, sf_dir):
     return leaves.text_leaves(rows, "text", "n_nationkey").select("n_nationkey", "key", "kind", "raw")
 
 
-def events_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_fields() -> dict:
     tags = F.array(F.col("event_type"), F.lit("x"))
-    fields = {"id": F.col("event_id"), "props": F.from_json("props", "struct<k:bigint>"), "tags": tags, "value": F.col("value"), "none": F.lit(None).cast("string"), "list": F.array().cast("array<string>")}
-    return as_json(table(spark, sf_dir, "events"), fields, "event_id", "event_type")
+    return {"id": F.col("event_id"), "props": F.from_json("props", "struct<k:bigint>"), "tags": tags, "value": F.col("value"), "none": F.lit(None).cast("string"), "list": F.array().cast("array<string>")}
 
 
-@query(
-    """SELECT event_id, path_text, vtype, str, num FROM events, LATERAL (VALUES ('id', 'number', NULL, event_id::DOUBLE), ('list', 'empty_array', NULL, NULL), ('none', 'null', NULL, NULL), ('props.k', 'number', NULL, (props->>'$.k')::DOUBLE),
+def events_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_json(table(spark, sf_dir, "events"), event_fields(), "event_id", "event_type")
+
+
+EVENT_LEAVES_SQL = """SELECT event_id, path_text, vtype, str, num FROM events, LATERAL (VALUES ('id', 'number', NULL, event_id::DOUBLE), ('list', 'empty_array', NULL, NULL), ('none', 'null', NULL, NULL), ('props.k', 'number', NULL, (props->>'$.k')::DOUBLE),
   ('tags[0]', 'string', event_type, NULL), ('tags[1]', 'string', 'x', NULL), ('value', 'number', NULL, value)) v(path_text, vtype, str, num)"""
-)
+
+
+@query(EVENT_LEAVES_SQL)
+def struct_leaves_events(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.struct(*[v.alias(k) for k, v in event_fields().items()]).alias("event"))
+    return leaves.struct_leaves(rows, "event", "event_id").select("event_id", "path_text", "vtype", "str", "num")
+
+
+@query(EVENT_LEAVES_SQL)
 def json_leaves_events(spark, sf_dir):
     return leaves.json_leaves(events_json(spark, sf_dir), "json", "event_id").select("event_id", "path_text", "vtype", "str", "num")
 

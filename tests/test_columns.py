@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from leafwork.functions import columns, native, native_decode
 from leafwork.functions.declarations import parse_declaration, spark_type
 from leafwork.functions.wire import Unreadable
+from leafwork.operators import leaves
 
 POOL = ["", "a", " b", "c,d", "{x=1}", "{x=1", "<<<y>>>", "<<<", "[]", "{}", "true", "1e5", "01", "x=[", "[", "]", ">>>", "p\nq", "a\n>>>\nb", "e\rf", "z=<<<ab", "né😀", "null", "}", ":", "1.50"]
 NUMBERS = [0.0, -0.0, 1.5, -2.25, 1e21, 1e-7, 123456789.125, 2e23, None, 5e-324, 1e6, 1.7976931348623157e308]
@@ -147,3 +148,10 @@ def test_flat_texts_by_expressions_and_by_the_kernel(spark):
     got = df.select("t", columns.decode_typed("t", SCHEMA).alias("a"), F.from_json(columns.decode_value("t", SCHEMA), spark_type(declared)).alias("b"), flat.alias("flat")).collect()
     assert [(r.t, r.a, r.b) for r in got if r.a != r.b] == []
     assert 200 < sum(r.flat for r in got) < 2800
+
+
+def test_leaves_of_structs_are_those_of_their_json(structs):
+    names = ["i", "ord", "path_text", "vtype", "str", "num", "bool"]
+    a = leaves.struct_leaves(structs, "s", "i").select(*names).collect()
+    b = leaves.json_leaves(structs.withColumn("j", as_json()), "j", "i").select(*names).collect()
+    assert sorted(map(str, a)) == sorted(map(str, b))
