@@ -15,7 +15,7 @@ from leafwork.operators.ranges import part_of, partitions, splits
 from leafwork.sources import scratch
 from leafwork.sources.scratch import shared_dir
 
-__all__ = ["bounded_batches", "drop_written", "fresh_path", "give_back", "lean", "part_of", "partitions", "running", "shared_dir", "splits", "sums_before", "table", "word_count", "written"]
+__all__ = ["bounded_batches", "drop_path", "drop_written", "fresh_path", "give_back", "lean", "part_of", "partitions", "running", "shared_dir", "splits", "sums_before", "table", "word_count", "written"]
 
 #: Token of the word definition that every operator here shares.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,7 +51,12 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 def drop_written(spark: SparkSession) -> None:
     """Remove all tables that this application's written() has left in the shared folder, once no DataFrame needs them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch.own_dir(spark))
+    drop_path(spark, scratch.own_dir(spark))
+
+
+def drop_path(spark: SparkSession, name: str) -> None:
+    """Remove a folder, wherever Spark can write it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
